@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .line_dedup import ORACLE as LINES_SQL
+from .line_dedup import without_repeated_runs
 from .media import store_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -40,12 +43,20 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(_documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_runs(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": LINES_SQL,
+}
