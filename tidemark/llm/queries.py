@@ -14,6 +14,8 @@ from .media import store_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .substring_dedup import ORACLE as SUBSTRINGS_SQL
+from .substring_dedup import without_repeats
 from .toxicity import score, train
 
 
@@ -43,6 +45,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(_documents(spark, sf_dir))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_documents(spark, sf_dir), digest=True)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_runs(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,9 +60,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
+    "op8_substrings": op8_substrings,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_substrings": SUBSTRINGS_SQL,
     "op10_line_dedup": LINES_SQL,
 }
