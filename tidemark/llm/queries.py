@@ -13,6 +13,7 @@ from .line_dedup import without_repeated_runs
 from .media import store_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from .substring_dedup import ORACLE as SUBSTRINGS_SQL
 from .substring_dedup import without_repeats
@@ -49,6 +50,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir), digest=True)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_runs(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_media": op7_media,
     "op8_substrings": op8_substrings,
+    "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
 }
 
