@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import without_repeated_runs
+from .lm_scoring import score_texts
 from .media import store_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -28,6 +29,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -61,6 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
