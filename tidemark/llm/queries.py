@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .html_extraction import extract_text
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import without_repeated_runs
 from .lm_scoring import score_texts
@@ -40,6 +41,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_toxicity": op3_toxicity,
+    "op4_html": op4_html,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
