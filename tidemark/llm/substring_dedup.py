@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +55,20 @@ def _anchor_of(short: np.ndarray, span: int) -> np.ndarray:
     return np.where(short[b] < short[a], b, a)
 
 
-def _each(batch: pa.RecordBatch, column: int, window: int):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed before they are shuffled: about half of what the shuffle's own compression makes of them."""
+    for batch in batches:
+        z = zstandard.ZstdCompressor(level=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "packed"])
+
+
+def _unpacked(column: pa.Array) -> list[str]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(p).decode() for p in column.to_pylist()]
+
+
+def _each(texts: list[str], window: int):
     """(row, words of its text, k, hashes of the short windows) for each row."""
-    texts = batch.column(column).to_pylist()
     for a, b in in_slices(texts):
         words = Words(texts[a:b], lower=False)
         for k in range(b - a):
@@ -78,7 +90,7 @@ def _anchored(window: int):
         for batch in batches:
             keys, rows = batch.column(0).to_numpy(zero_copy_only=False), []
             hashes, size = [], 0
-            for row, _, _, short in _each(batch, 1, window):
+            for row, _, _, short in _each(batch.column(1).to_pylist(), window):
                 at = anchors(short, span)
                 hashes.append(short[at].view(np.int64))
                 rows.append(np.full(len(at), keys[row], np.int64))
@@ -103,7 +115,7 @@ def _extended(window: int):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             parts: list[list[np.ndarray]] = [[], [], [], []]
             size = 0
-            for row, words, k, short in _each(batch, 1, window):
+            for row, words, k, short in _each(_unpacked(batch.column(1)), window):
                 if len(short) < span:
                     continue
                 repeated = np.frombuffer(batch.column(2)[row].values.to_numpy(zero_copy_only=False).astype(np.int64), U64)
@@ -127,7 +139,7 @@ def _kept(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column(1).to_pylist(), batch.column(2)
+            texts, places = _unpacked(batch.column(1)), batch.column(2)
             rows = []
             for a, b in in_slices(texts):
                 words = Words(texts[a:b], lower=False, hashed=False)
@@ -184,11 +196,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     found = keyed.select("key", "text").mapInArrow(_anchored(window), "key long, h long")
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     survivors = stage.write(found.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("repeated")))
-    grown = keyed.select("key", "text").join(survivors, "key").select("key", "text", "repeated").mapInArrow(_extended(window), "key long, place int, h long, g long")
+    packed = keyed.select("doc_id", "key", "text").mapInArrow(_packed, "doc_id long, key long, packed binary")
+    grown = packed.select("key", "packed").join(survivors, "key").select("key", "packed", "repeated").mapInArrow(_extended(window), "key long, place int, h long, g long")
     grown = stage.write(grown)
     full = grown.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
     places = stage.write(grown.join(full, ["h", "g"]).groupBy("key").agg(F.collect_set("place").alias("places")))
-    both = keyed.join(places, "key", "left").select("doc_id", "text", "places")
+    both = packed.join(places, "key", "left").select("doc_id", "packed", "places")
     if digest:
         return both.mapInArrow(_finished(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return both.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
