@@ -64,12 +64,23 @@ def scope(s: Column, lexicon: Lexicon) -> Column:
 
 
 def strength(s: Column, lexicon: Lexicon) -> Column:
-    """struct(tier, begin, end): the first term, in the lists' order, of the first tier with one; begin and end count from 0; null if none."""
+    """struct(tier, begin, end): the first term, in the lists' order, of the first tier with one; begin and end count from 0; null if none.
+
+    One pattern for each tier finds the terms there are; only the winner's
+    place is looked up.
+    """
     low, found = F.lower(s), []
     for tier in TIERS:
-        for t in lexicon.strength.get(tier, ()):
-            at = F.regexp_instr(low, F.lit(BEGIN + java(t) + END))
-            found.append(F.when(at > 0, F.struct(F.lit(tier).alias("tier"), (at - 1).alias("begin"), (at - 1 + len(t)).alias("end"))))
+        terms = lexicon.strength.get(tier, ())
+        if not terms:
+            continue
+        patterns = F.array(*(F.lit(BEGIN + java(t) + END) for t in terms))
+        names = F.array(*map(F.lit, terms))
+        hits = F.regexp_extract_all(low, F.lit(BEGIN + "(?:" + "|".join(map(java, sorted(terms, key=len, reverse=True))) + ")" + END), 0)
+        first = F.array_min(F.transform(hits, lambda h: F.array_position(names, h)))
+        at = lambda k: F.regexp_instr(low, F.element_at(patterns, k)) - 1  # noqa: B023, E731
+        best = F.transform(F.array(first.cast("int")), lambda k: F.struct(F.lit(tier).alias("tier"), at(k).alias("begin"), (at(k) + F.length(F.element_at(names, k))).alias("end")))  # noqa: B023
+        found.append(F.when(F.size(hits) > 0, F.get(best, F.lit(0))))
     return F.coalesce(*found) if found else F.lit(None).cast("struct<tier:string,begin:int,end:int>")
 
 

@@ -101,10 +101,23 @@ def reading_ease(s: Column) -> Column:
 
 
 def prefix_hits(low: Column, terms: Iterable[str]) -> Column:
-    """Each term's hits at words' beginnings, added up: a place may count for several terms."""
+    """Each term's hits at words' beginnings, added up: a place may count for several terms.
+
+    Terms of which none begins another share one pattern, which looks ahead
+    and takes nothing, so hits may overlap; a term that another one begins
+    goes to the next pattern.
+    """
+    layers: list[list[str]] = []
+    for t in sorted(terms, key=len):
+        for layer in layers:
+            if not any(t.startswith(o) for o in layer):
+                layer.append(t)
+                break
+        else:
+            layers.append([t])
     out = F.lit(0)
-    for t in terms:
-        out = out + F.regexp_count(low, F.lit(BEGIN + java(t)))
+    for layer in layers:
+        out = out + F.regexp_count(low, F.lit(f"{BEGIN}(?={_any(layer)})"))
     return out
 
 

@@ -27,12 +27,14 @@ def grams(text: Column, low: int = 4, high: int = 5) -> Column:
     """Character n-grams of each word, padded with a space at either end; a word no longer than n once padded gives itself, once."""
     padded = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+", -1), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def cut(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n)))
+
     def of(w: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - low + 1)), lambda i: F.substring(w, i, F.lit(low)))
+        parts = cut(w, low)
         for n in range(low + 1, high + 1):
             # padded words that an earlier length took whole go no further
-            more = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i, n=n: F.substring(w, i, F.lit(n)))
-            parts = F.concat(parts, F.when(F.length(w) > n - 1, more).otherwise(F.array().cast("array<string>")))
+            parts = F.concat(parts, F.when(F.length(w) > n - 1, cut(w, n)).otherwise(F.array().cast("array<string>")))
         return parts
 
     return F.flatten(F.transform(padded, of))
