@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, lean
 
 #: A template's class is found in this share of a host's pages, and in this many pages, and has this many tokens.
 SHARE, PAGES, TOKENS = 0.6, 5, 2
@@ -167,12 +167,13 @@ def main_text(page: str | None, template: dict[int, tuple[int, float]]) -> str:
             if place >= reached.get(of, -1.0):
                 reached[of] = place
                 fixed[t] += 1
-    slots = []
+    free: set[int] = set()  # blocks with a slot: words of the template within them belong to their sentences
     for p in pieces:
         if fixed[p.token]:
             fixed[p.token] -= 1
         elif not p.dropped:
-            slots.append(p)
+            free.add(p.block)
+    slots = [p for p in pieces if p.block in free and not p.dropped]
     if any(p.main for p in slots):
         slots = [p for p in slots if p.main]
         by_links = False
@@ -235,7 +236,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, stage: Stage, share: float = SHARE, least: int = PAGES, size: int = TOKENS) -> DataFrame:
     """(host, found): for each host with a template, its tokens with their class and mean place."""
-    found = pages.select("host", "key", "html").mapInArrow(_occurrences, "host long, token long, pages long, vector long, place long")
+    found = pages.select("host", "key", "html").mapInArrow(lean(_occurrences), "host long, token long, pages long, vector long, place long")
     found = found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"))
     found = stage.write(found.where(F.col("pages") >= least))
     total = found.where("token = 0").select("host", F.col("pages").alias("of_pages"))
@@ -261,4 +262,4 @@ def extract_text(pages: DataFrame, share: float = SHARE, least: int = PAGES) ->
     template = templates(keyed, stage, share, least)
     # templates were written, so their size is known: broadcast only if under Spark's threshold, else shuffled
     both = keyed.join(template, "host", "left").select(F.col("page_id").cast("long"), "url", "host", "html", "found")
-    return both.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return both.mapInArrow(lean(_extracted), "page_id long, url string, text string, n_chars long")
