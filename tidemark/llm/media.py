@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # ---- formats: each validator gets the bytes and the start, and gives the length of a sound file there, or 0
 
 
@@ -263,4 +265,4 @@ def store_texts(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), STORED_ARROW, strict=True)] if rows else [pa.array([], t) for t in STORED_ARROW]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), STORED)

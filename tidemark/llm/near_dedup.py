@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, lean
 from .components import components
 from .hashing import U64, Words, constants, mix64, windows
 from .tokens import in_slices
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     stage = Stage(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage.write(docs.mapInArrow(_signed, "doc_id long, n_shingles long, p long, q long, bands array<long>, sketch array<long>"))
+    signed = stage.write(docs.mapInArrow(lean(_signed), "doc_id long, n_shingles long, p long, q long, bands array<long>, sketch array<long>"))
     real = signed.where("n_shingles > 0 and doc_id is not null")
     first = stage.write(real.groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("rep")))
     own = signed.select("doc_id", "p", "q", "bands", "sketch").join(first.select(F.col("rep").alias("doc_id"), "p", "q"), ["doc_id", "p", "q"]).dropDuplicates(["doc_id", "p", "q"])
@@ -169,13 +169,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(COORDINATES // 64)), F.lit(0))
 
     needed = members.select("doc_id").distinct().join(own.select("doc_id", "p"), "doc_id")
-    sets = docs.join(needed.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, p long, shingles binary")
+    sets = docs.join(needed.select("doc_id"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc_id long, p long, shingles binary")
     sets = stage.write(sets.join(needed, ["doc_id", "p"], "left_semi").select("doc_id", "shingles"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
         with_both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").select("a", "b", "s", "t")
-        return with_both.mapInArrow(_confirmed(percent), "a long, b long")
+        return with_both.mapInArrow(lean(_confirmed(percent)), "a long, b long")
 
     star = members.where("pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.join(sketches.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = stage.write(placed)
     several = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
     open_rows = stage.write(placed.join(several, "key"))
-    details = sets.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_long, "doc_id long, long array<long>")
+    details = sets.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lean(_long), "doc_id long, long array<long>")
     details = stage.write(details.join(own.select("doc_id", F.col("sketch").alias("s"), F.transform("bands", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("bands")), "doc_id"))
     open_rows = open_rows.join(details, "doc_id").select("key", "doc_id", "label", "s", "long", "bands")
     left = open_rows.toDF("key", "a", "la", "x", "lx", "bx")

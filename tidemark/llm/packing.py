@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import in_slices, word_tokenizer
 
 CAPACITY = 4096
@@ -182,4 +183,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
             yield out(done)
 
     bears = F.col(loss).cast("boolean") if loss else F.lit(None).cast("boolean")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bears.alias("loss")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bears.alias("loss")).mapInArrow(lean(run), schema)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, lean
 from .hashing import U64, Words, mix64, windows_rolling
 from .tokens import in_slices
 
@@ -193,18 +193,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a row's key: rows with equal keys are equal in id and text, and have the same windows
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = keyed.select("key", "text").mapInArrow(_anchored(window), "key long, h long")
+    found = keyed.select("key", "text").mapInArrow(lean(_anchored(window)), "key long, h long")
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     survivors = stage.write(found.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("repeated")))
-    packed = keyed.select("doc_id", "key", "text").mapInArrow(_packed, "doc_id long, key long, packed binary")
-    grown = packed.select("key", "packed").join(survivors, "key").select("key", "packed", "repeated").mapInArrow(_extended(window), "key long, place int, h long, g long")
+    packed = keyed.select("doc_id", "key", "text").mapInArrow(lean(_packed), "doc_id long, key long, packed binary")
+    grown = packed.select("key", "packed").join(survivors, "key").select("key", "packed", "repeated").mapInArrow(lean(_extended(window)), "key long, place int, h long, g long")
     grown = stage.write(grown)
     full = grown.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
     places = stage.write(grown.join(full, ["h", "g"]).groupBy("key").agg(F.collect_set("place").alias("places")))
     both = packed.join(places, "key", "left").select("doc_id", "packed", "places")
     if digest:
-        return both.mapInArrow(_finished(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return both.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+        return both.mapInArrow(lean(_finished(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return both.mapInArrow(lean(_kept(window)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 #: What the query gives for the table documents, in SQL.

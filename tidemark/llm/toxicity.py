@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, lean
 from .hashing import _LOWER, constants
 from .tokens import in_slices
 
@@ -163,4 +163,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = docs.select(*names)
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
