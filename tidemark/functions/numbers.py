@@ -13,8 +13,11 @@ def py_round(x: Column, digits: int) -> Column:
     halves whose products with a power of ten lose nothing), so ties are
     decided by what the double really holds.
     """
-    m = float(10**digits)
-    x = x.cast("double")
+    # the value is bound once, by a lambda, as it is needed many times
+    return F.get(F.transform(F.array(x.cast("double")), lambda v: _round(v, float(10**digits))), F.lit(0))
+
+
+def _round(x: Column, m: float) -> Column:
     c = x * F.lit(134217729.0)
     high = c - (c - x)
     p = x * F.lit(m)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import Lexicon
 from ..functions.numbers import py_round
 from ..functions.slots import deadline_or_leading
+from .common import checkpointed
 from .linkage import family
 
 TEXT_THRESHOLD, SLOT_THRESHOLD, SAME_WORDING, SPECIFICITY_DROP = 0.55, 0.60, 0.93, 0.10
@@ -60,7 +61,7 @@ def similarities(texts: DataFrame, group: list[str], least: float = TEXT_THRESHO
     row = Window.partitionBy(*group, "side", "id")
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(row)))
     ahead = row.orderBy("_df", "gram").rowsBetween(0, Window.unboundedFollowing)
-    w = w.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(ahead))
+    w = checkpointed(w.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(ahead)))
     a = w.where("side = 'a'").select(*group, "gram", F.col("id").alias("i"), F.col("w").alias("wi"), (F.col("_rest") >= least * least * (1 - 1e-9)).alias("leads"))
     b = w.where("side = 'b'").select(*group, "gram", F.col("id").alias("j"), F.col("w").alias("wj"))
     found = a.where("leads").join(b, [*group, "gram"]).select(*group, "i", "j").distinct()
@@ -99,7 +100,7 @@ def candidate_pairs(claims: DataFrame, lexicon: Lexicon = Lexicon(), group: str
     (scope, kind), never by crossing all.
     """
     steps = consecutive(claims, group)
-    slots = with_match_slots(claims, lexicon).select(group, "publish_year", "id", "sentence", F.struct("family", "scope", "due", "claim_type").alias("slots"))
+    slots = checkpointed(with_match_slots(claims, lexicon).select(group, "publish_year", "id", "sentence", F.struct("family", "scope", "due", "claim_type").alias("slots")))
     old = slots.join(steps, [group, "publish_year"]).select(group, "publish_year", "next", F.col("id").alias("i"), "sentence", F.col("slots").alias("a"))
     new = slots.join(steps.select(group, F.col("publish_year").alias("was"), F.col("next").alias("publish_year")), [group, "publish_year"]).select(group, F.col("was").alias("publish_year"), F.col("publish_year").alias("next"), F.col("id").alias("j"), "sentence", F.col("slots").alias("b"))
     keys = [group, "publish_year", "next"]
@@ -130,20 +131,13 @@ def greedy_matches(pairs: DataFrame, group: list[str]) -> DataFrame:
     pairs, until none is left.  Rounds are as many as the longest chain of
     pairs that wait for one another, few in practice.
     """
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    else:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    left, taken = pairs.checkpoint(), None
+    left, taken = checkpointed(pairs), None
     while not left.isEmpty():
         order = [F.col("rank").desc(), F.col("i"), F.col("j")]
         ranked = left.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "i").orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(*group, "j").orderBy(*order)))
-        now = ranked.where("_i = 1 and _j = 1").drop("_i", "_j").checkpoint()
+        now = checkpointed(ranked.where("_i = 1 and _j = 1").drop("_i", "_j"))
         taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select(*group, "i"), [*group, "i"], "left_anti").join(now.select(*group, "j"), [*group, "j"], "left_anti").checkpoint()
+        left = checkpointed(left.join(now.select(*group, "i"), [*group, "i"], "left_anti").join(now.select(*group, "j"), [*group, "j"], "left_anti"))
     return taken if taken is not None else left
 
 
@@ -187,6 +181,7 @@ def differences(old: str, new: str, similarity: Column) -> Column:
 def language_drift(claims: DataFrame, lexicon: Lexicon = Lexicon(), group: str = "company", threshold: float = TEXT_THRESHOLD) -> DataFrame:
     """Events between matched claims of consecutive reports."""
     keys = [group, "publish_year", "next"]
+    claims = checkpointed(claims)
     pairs = candidate_pairs(claims, lexicon, group, threshold)
     matched = greedy_matches(pairs, keys)
     fields = ["sentence", "strength", "negated", "conditional", "quantity", "deadline", "scope", "specificity_score", "page", "source_file"]

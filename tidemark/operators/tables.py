@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 ROW_HEIGHT, COLUMN_GAP, LOOK_BACK = 2.5, 18.0, 20
 # ---- fixed patterns
 HEADER_TOKEN = r"^\(?(?:FY\s?)?((?:19|20)\d{2})\)?,?$"
@@ -62,7 +64,7 @@ def header_years(text: Column) -> Column:
         return F.when(a["done"], a).when(year(t) != "", grown).otherwise(ended)
 
     run = F.aggregate(F.split(text, r"\s+", -1), start, step)["run"]
-    return F.when(F.size(run) >= 2, run)
+    return F.get(F.filter(F.array(run), lambda r: F.size(r) >= 2), F.lit(0))
 
 
 def unit_of(text: Column) -> Column:
@@ -89,7 +91,7 @@ def is_value(token: Column) -> Column:
 
 
 def numeric_run(words: Column, start: Column) -> Column:
-    """struct(values, last): value tokens from word ``start`` (from 0) on, up to where, after a value, a wide gap leads to a word.
+    """struct(values, last, ...): value tokens from word ``start`` (from 0) on, up to where, after a value, a wide gap leads to a word.
 
     A fold over the words; last is the place of the last word taken.
     """
@@ -104,8 +106,7 @@ def numeric_run(words: Column, start: Column) -> Column:
         ended = F.struct(a["values"].alias("values"), a["last"].alias("last"), a["x1"].alias("x1"), F.lit(True).alias("done"))
         return F.when(a["done"], a).when(stop, ended).otherwise(go)
 
-    run = F.aggregate(rest, seed, step)
-    return F.struct(run["values"].alias("values"), run["last"].alias("last"))
+    return F.aggregate(rest, seed, step)
 
 
 def consistency(values: Column, years: Column, extra: Column) -> Column:
@@ -137,14 +138,16 @@ def draft(rows: DataFrame, metrics: tuple[tuple[str, str], ...] = METRICS) -> Da
     scope, quote, header, consistency_check, confidence.
     """
     before = Window.partitionBy("doc", "page").orderBy("row").rowsBetween(-LOOK_BACK, -1)
-    years, unit = header_years(F.col("text")), unit_of(F.col("text"))
+    years, unit = F.col("_header"), F.col("_unit")
+    rows = checkpointed(rows.withColumn("_header", header_years(F.col("text"))).withColumn("_unit", unit_of(F.col("text"))))
     seen = rows.withColumn("above", F.last(F.when(years.isNotNull(), F.struct(years.alias("years"), F.col("text").alias("text"))), True).over(before)).withColumn("unit_above", F.last(F.when(unit.isNotNull(), F.struct(unit.alias("unit"), F.col("text").alias("text"))), True).over(before))
     labels = F.array_compact(F.array(*(F.when(F.col("text").rlike("(?iu)" + p), F.struct(F.lit(m).alias("base"), (F.regexp_instr("text", F.lit("(?iu)" + p)) - 1 + F.length(F.regexp_extract("text", "(?iu)" + p, 0))).alias("end"))) for m, p in metrics)))
     t = seen.where((F.col("text") != "") & ~F.col("text").rlike(COMBINED)).withColumn("label", F.explode(labels))
     # the word in which the label ends
-    ends = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.length(F.array_join(F.transform(F.slice(F.col("words"), F.lit(1), k), lambda w: w["text"]), " ")))
-    t = t.withColumn("_start", F.size(F.filter(ends, lambda e: e < F.col("label.end"))) + 1)
-    t = t.withColumn("run", numeric_run(F.col("words"), F.col("_start")))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+    pass_ = lambda a, w: F.struct((a["at"] + F.length(w["text"]) + 1).alias("at"), (a["n"] + (a["at"] + F.length(w["text"]) < F.col("label.end")).cast("int")).alias("n"))
+    t = t.withColumn("_start", F.aggregate("words", none, pass_)["n"] + 1)
+    t = checkpointed(t.withColumn("run", numeric_run(F.col("words"), F.col("_start"))))
     quote = F.when(F.size("run.values") > 0, F.array_join(F.transform(F.slice("words", F.lit(1), F.col("run.last") + 1), lambda w: w["text"]), " ")).otherwise(F.col("text"))
     t = t.withColumn("quote", quote).withColumn("own_unit", unit_of(F.col("quote"))).withColumn("qualifiers", qualifiers_of(F.col("quote")))
     base, q, values = F.col("label.base"), F.col("qualifiers"), F.col("run.values")

@@ -404,7 +404,7 @@ def say_do(spark, sf_dir):
     metrics = F.explode(F.array(*(F.lit(f"scope_{i}_emissions") for i in (1, 2, 3))))
     f = _small_claims(spark, sf_dir).select("company").distinct().withColumn("year", years).select("company", "year", metrics.alias("metric"))
     f = f.withColumns({"value": (F.lit(100.0) - (F.col("year") - 2010) * 2), "unit": F.lit("t"), "source": F.lit("x/2023_report.csv"), "ord": F.col("year").cast("long")})
-    links = linkage.say_do_links(_small_claims(spark, sf_dir), f)
+    links = linkage.say_do_links(_small_claims(spark, sf_dir), f)  # the series falls by two points a year
     return linkage.say_do_score(links, f)
 
 
@@ -413,7 +413,7 @@ def figure_drafts(spark, sf_dir):
     """Tables laid out of line items: a header of years, then a label and its values."""
     pages = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("q"))
     rows = F.array(
-        F.split(F.lit("Emissions (tCO2e) 2022 2021 2020"), " "),
+        F.split(F.lit("Emissions (tCO₂e) 2022 2021 2020"), " "),
         F.concat(F.array(F.lit("Scope"), F.lit("1")), F.transform(F.slice("q", 1, 3), lambda x: x["l_quantity"].cast("int").cast("string"))),
         F.concat(F.split(F.lit("Scope 2 market-based"), " "), F.transform(F.slice("q", 1, 4), lambda x: x["l_quantity"].cast("int").cast("string"))),
     )
