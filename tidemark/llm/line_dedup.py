@@ -41,7 +41,8 @@ def repeated_runs(docs: DataFrame, stage: Stage, min_words: int = MIN_WORDS, lon
     found, h = [], 1
     while True:
         place = F.struct("doc_id", "t", "n")
-        intervals = now.groupBy("a", "b").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1")
+        # written, so that the join has exchanges on both sides and a very common line's suffixes can be split
+        intervals = stage.write(now.groupBy("a", "b").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1"))
         now = stage.write(now.join(intervals, ["a", "b"]).withColumn("later", F.struct("doc_id", "t", "n") > F.col("first")).drop("size", "first"))
         found.append(now.where(F.col("later") & (F.col("w") >= min_words)).select("doc_id", "t", F.explode("at").alias("i")))
         h *= 2
