@@ -194,12 +194,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     # a row's key: rows with equal keys are equal in id and text, and have the same windows
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     found = keyed.select("key", "text").mapInArrow(lean(_anchored(window)), "key long, h long")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # what repeats is written, so that the joins have exchanges on both sides and a common passage's rows can be split
+    repeated = stage.write(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     survivors = stage.write(found.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("repeated")))
     packed = keyed.select("doc_id", "key", "text").mapInArrow(lean(_packed), "doc_id long, key long, packed binary")
     grown = packed.select("key", "packed").join(survivors, "key").select("key", "packed", "repeated").mapInArrow(lean(_extended(window)), "key long, place int, h long, g long")
     grown = stage.write(grown)
-    full = grown.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    full = stage.write(grown.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
     places = stage.write(grown.join(full, ["h", "g"]).groupBy("key").agg(F.collect_set("place").alias("places")))
     both = packed.join(places, "key", "left").select("doc_id", "packed", "places")
     if digest:
