@@ -67,3 +67,10 @@ def test_configuration_overlays_defaults():
     x = Lexicon.of({"vague": ["Big"], "positive_tone": ["Yay"], "metric_families": {"a": ["B"]}})
     assert x.vague == ("big",) and x.positive == ("yay",) and x.families == (("a", ("b",)),) and "carbon" in x.core and "material" not in x.core
     assert math.isclose(Settings().actuals_block_weight + Settings().targets_block_weight, 1)
+
+
+def test_configuration_files(tmp_path):
+    from tidemark.sources.config import read_lexicon, read_settings
+
+    (tmp_path / "c.json").write_text('{"vague": ["Huge"], "drift": {"rate_weight": 1}}')
+    assert read_lexicon(f"{tmp_path}/c.json").vague == ("huge",) and read_settings(f"{tmp_path}/c.json").rate_weight == 1
