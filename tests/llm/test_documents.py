@@ -182,6 +182,34 @@ def test_short_common_lines_stay_unless_in_a_run(spark):
     assert got[1] == rows[0][1] and got[2] == "Yes.\nother" and got[3] == "end " + _random(3, 9)
 
 
+def _any_run(rows, min_words=8):
+    """Lines removed, by looking at every run of every length in order."""
+    seqs = {d: [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")] for d, t in sorted(rows)}
+    gone = collections.defaultdict(set)
+    for h in range(1, max(map(len, seqs.values())) + 1):
+        seen = set()
+        for d, s in seqs.items():
+            for n in range(len(s) - h + 1):
+                run = tuple(x for _, x in s[n : n + h])
+                if run in seen and sum(len(_words(x)) for x in run) >= min_words:
+                    gone[d].update(i for i, _ in s[n : n + h])
+                seen.add(run)
+    return gone
+
+
+def test_runs_of_any_number_of_lines(spark):
+    """Runs of which no 1, 2 or 4 lines have the words: a word a line, 3 lines of 3 words, one pattern again and again."""
+    r = random.Random(8)
+    verse, three = "\n".join(WORDS[:40]), "\n".join(_random(20 + i, 3) for i in range(3))
+    rows = [(1, "top\n" + verse), (2, verse + "\n\nend"), (3, three + "\nx"), (4, "y\n" + three), (5, "Un.\nAn ele.\n" * 20), (6, "\n".join(WORDS[50:57])), (7, "\n".join(WORDS[50:57]))]
+    rows += [(10 + d, "\n".join(" ".join(r.choice("abc") for _ in range(r.choice((1, 1, 2, 3, 5)))) for _ in range(30))) for d in range(25)]
+    gone = _any_run(rows)
+    assert len(gone[2]) == 40 and len(gone[4]) == 3 and len(gone[5]) == 38 and not gone[7]
+    for got in line_dedup.without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert got.n_removed == len(gone[got.doc_id]), got.doc_id
+        assert got.kept == "\n".join(x for i, x in enumerate(got.text.split("\n")) if i not in gone[got.doc_id])
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(0)
     rows = [(d, " ".join(["w"] * r.randint(0, 60)), r.choice(["s1", "s2", "s2", "s2", None, "Z"])) for d in range(900)]

@@ -6,9 +6,16 @@ first h, of the suffix itself and of the one h lines on.  Suffixes with the
 same first h lines lie together in the suffix array: an interval of longest
 common prefix h or more.  Only what is needed of the array is ever held: each
 interval's name, its size and its first suffix in text order, by one aggregate;
-a suffix alone in its interval repeats nothing and leaves.  What begins like an
-earlier suffix is a later copy of h lines; such runs, overlapping, make up the
-maximal repeated runs, and they are deleted.
+a suffix alone in its interval repeats nothing and leaves.  Between two powers
+of two, a length's order follows from those of its two parts, so the common
+prefix with an earlier suffix is known line by line.
+
+Maximal repeated runs of ``min_words`` words or more are deleted, however many
+lines they have.  Every line that is not blank has a word, so each line of such
+a run lies in a piece of it of ``min_words`` lines or fewer that has the words
+alone; a piece of a later copy is a later copy.  Common prefixes are therefore
+told apart up to ``min_words`` lines, and the union of the pieces is exactly
+that of the maximal runs.
 
 Everything is DataFrame and SQL functions.
 """
@@ -22,8 +29,6 @@ from .common import WORD, Stage
 
 #: A run is deleted if it holds this many words or more.
 MIN_WORDS = 8
-#: Doubling ends at runs of this many lines; longer runs are unions of these.
-LONGEST = 4
 #: White space at either end of a line does not count.
 ENDS = " \t\r\x0b\x0c"
 
@@ -34,23 +39,24 @@ def _sequence(text: Column) -> Column:
     return F.filter(lines, lambda s: s["line"] != "")
 
 
-def repeated_runs(docs: DataFrame, stage: Stage, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
+def repeated_runs(docs: DataFrame, stage: Stage, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, t (hash of the text), i: the places, among all lines, of lines that a later copy covers (maybe more than once)."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(_sequence(F.col("text"))).alias("n", "s"))
     now = lines.select("doc_id", "t", "n", F.array("s.i").alias("at"), F.xxhash64("s.line").alias("a"), F.xxhash64("s.line", F.lit(1)).alias("b"), F.regexp_count("s.line", F.lit(WORD)).alias("w"))
-    found, h = [], 1
+    found, of, h = [], {}, 1
     while True:
         place = F.struct("doc_id", "t", "n")
         # written, so that the join has exchanges on both sides and a very common line's suffixes can be split
         intervals = stage.write(now.groupBy("a", "b").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1"))
-        now = stage.write(now.join(intervals, ["a", "b"]).withColumn("later", F.struct("doc_id", "t", "n") > F.col("first")).drop("size", "first"))
-        found.append(now.where(F.col("later") & (F.col("w") >= min_words)).select("doc_id", "t", F.explode("at").alias("i")))
-        h *= 2
-        if h > longest or now.isEmpty():
+        of[h] = stage.write(now.join(intervals, ["a", "b"]).withColumn("later", F.struct("doc_id", "t", "n") > F.col("first")).drop("size", "first"))
+        found.append(of[h].where(F.col("later") & (F.col("w") >= min_words)).select("doc_id", "t", F.explode("at").alias("i")))
+        # what has no common prefix of h lines has none of more
+        if h >= min_words or of[h].isEmpty():
             break
-        half = h // 2
-        on = now.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), (F.col("n") - half).alias("m"), F.col("at").alias("at2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
-        pairs = now.join(on, now["doc_id"].eqNullSafe(on["d"]) & (now["t"] == on["u"]) & (now["n"] == on["m"]))
+        h += 1
+        half = 1 << (h - 1).bit_length() - 1
+        on = of[h - half].select(F.col("doc_id").alias("d"), F.col("t").alias("u"), (F.col("n") - half).alias("m"), F.col("at").alias("at2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
+        pairs = of[half].join(on, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")) & (F.col("n") == F.col("m")))
         now = pairs.select("doc_id", "t", "n", F.concat("at", "at2").alias("at"), F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b"), (F.col("w") + F.col("w2")).alias("w"))
         now = stage.write(now.distinct())
     out = found[0]
@@ -59,21 +65,21 @@ def repeated_runs(docs: DataFrame, stage: Stage, min_words: int = MIN_WORDS, lon
     return out
 
 
-def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any others) with n_lines, n_removed and kept (the text left), replacing columns of those names.
 
     Lines end at \\n and are compared without white space at their ends; blank
     lines are kept, and count for nothing.  A line is removed if it lies in a
-    run of 1, 2, 4 ... ``longest`` lines, of ``min_words`` words or more, that
-    also begins at an earlier place: smaller doc_id (null first), or further
-    up in the same text.  Kept lines are left as they are.  Null text stays
+    run of any number of lines, of ``min_words`` words or more, that also begins
+    at an earlier place: smaller doc_id (null first), or further up in the same
+    text.  Kept lines are left as they are.  Null text stays
     null, with no lines.  Rows equal in doc_id and text are one place: what
     is removed from one is removed from all.
     """
     stage = Stage(docs.sparkSession, "line-dedup")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
     docs = docs.select(*names)
-    gone = repeated_runs(docs.select("doc_id", "text"), stage, min_words, longest).groupBy("doc_id", "t").agg(F.collect_set("i").alias("_gone"))
+    gone = repeated_runs(docs.select("doc_id", "text"), stage, min_words).groupBy("doc_id", "t").agg(F.collect_set("i").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "_gone")
     both = docs.withColumn("_hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left")
     lines = F.split("text", "\n", -1)
@@ -88,7 +94,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     return out.withColumn("text", F.col("kept")).select(*docs.columns)
 
 
-#: What :func:`without_repeated_runs` gives for the table documents, in SQL.
+#: In SQL, for the table documents: runs of 1, 2 and 4 lines alone.  :func:`without_repeated_runs` removes what this does, and runs of other lengths.
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, i, trim(line, E' \t\r\x0b\x0c') AS line
