@@ -71,3 +71,11 @@ def test_perturbations_come_in_the_order_of_their_cost():
     got = neighbours.perturbations(inside, 81)
     cost = lambda s: sum((inside[i] ** 2 if v < 0 else (1 - inside[i]) ** 2) for i, v in enumerate(s) if v)
     assert len(set(got)) == 81 and got[0] == (0, 0, 0, 0) and all(cost(a) <= cost(b) + 1e-12 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_what_is_not_closed_does_not_end_the_page():
+    page = "<body>{}<article><h1>T</h1>{}<p>One</p><p>Two</p></article><p>z"
+    for piece in ("<svg viewBox='0 0 1 1'/>", "<math/>", "<button>Share", "<select><option>a<option>b", "<svg><path d='m'>", "<noscript>off", "<object><param>", "<button>A<button>B</button>", "<svg><title>icon</title><path/></svg>", "<video>none</video>", "<button><div>x</div> y</button>"):
+        for where in ((piece, ""), ("", piece), (piece, piece)):
+            assert html_extraction.main_text(page.format(*where), {}) == "T\n\nOne\n\nTwo", (piece, where)
+    assert html_extraction.main_text("<article><p>One <svg/>and <button><div>x</div>y</button>more</p><script>var a", {}) == "One and more"

@@ -34,9 +34,13 @@ SHARE, PAGES, TOKENS = 0.6, 5, 2
 
 #: HTML's elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select button".split())
+RAW = frozenset("script style textarea title".split())
+#: Elements that hold no text of an article; whether one can lie in another of its name; those that "/>" closes.
+HELD = frozenset("noscript template iframe svg math object canvas audio video select button".split())
+NESTED = frozenset("template svg math object".split())
+FOREIGN = frozenset("svg math".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("aside dialog fieldset footer form head input label menu nav".split()) | RAW
+DROPPED = frozenset("aside dialog fieldset footer form head input label menu nav".split()) | RAW | HELD
 MAIN = frozenset("article main".split())
 #: Which open elements an opening tag ends, and where to stop looking for them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -49,6 +53,8 @@ HEAD_WORDS = frozenset("header head topbar top site".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An element of HELD that is never closed: it ends with its parent or at the next block.
+LOOSE = "?"
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -68,6 +74,7 @@ def parse(page: str | None) -> tuple[list[int], list[Piece]]:
     # open elements: tag, path, dropped, main, link
     stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
     block = at = 0
+    last: set[str] = set()  # names of which no closing tag follows
     source = page or ""
     n = len(source)
 
@@ -81,6 +88,15 @@ def parse(page: str | None) -> tuple[list[int], list[Piece]]:
         elif raw and pieces and pieces[-1].block == block:
             pieces[-1].text += " "
 
+    def closed(tag: str) -> bool:
+        """Whether a closing tag follows, before the next of an element that can't lie in its like."""
+        if tag in last:
+            return False
+        m = re.compile(rf"</{tag}\b" if tag in NESTED else rf"<(/?){tag}\b", re.I).search(source, at)
+        if not m:
+            last.add(tag)
+        return bool(m) and (tag in NESTED or m[1] == "/")
+
     while at < n:
         start = source.find("<", at)
         if start < 0:
@@ -101,24 +117,24 @@ def parse(page: str | None) -> tuple[list[int], list[Piece]]:
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
-                block += 1
+                block += not any(e[0] in HELD for e in stack)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
             continue
         if tag in BLOCKS:
-            block += 1
+            block += not any(e[0] in HELD for e in stack)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
+                if stack[k][0] == "p" or stack[k][0] == LOOSE:
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCKS:
+                if stack[k][0] in BLOCKS or stack[k][0] in HELD:
                     break
         if tag in ENDS:
             ended, stop = ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stop:
+                if stack[k][0] in stop or stack[k][0] in HELD:
                     break
                 if stack[k][0] in ended:
                     del stack[k:]
@@ -147,7 +163,9 @@ def parse(page: str | None) -> tuple[list[int], list[Piece]]:
             closing = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = closing.end() if closing else n
             continue
-        stack.append((tag, path, off, inside, link or tag == "a"))
+        if tag in FOREIGN and m[3].endswith("/"):
+            continue
+        stack.append((LOOSE if tag in HELD and not closed(tag) else tag, path, off, inside, link or tag == "a"))
     return tokens, pieces
 
 
