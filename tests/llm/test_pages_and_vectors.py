@@ -79,3 +79,15 @@ def test_what_is_not_closed_does_not_end_the_page():
         for where in ((piece, ""), ("", piece), (piece, piece)):
             assert html_extraction.main_text(page.format(*where), {}) == "T\n\nOne\n\nTwo", (piece, where)
     assert html_extraction.main_text("<article><p>One <svg/>and <button><div>x</div>y</button>more</p><script>var a", {}) == "One and more"
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    story = "<body><p>Site letter<div>Buy now</div>{}<h1>T</h1><p>One two<p>Three{}"
+    rows = [(i, f"http://a.example/{i}", story.format("<article>", f"</article><p>seen {i}"), 0, "h", 1) for i in range(6)]
+    rows += [(10 + i, f"http://a.example/{i}", story.format("<article>", f"<p>own {i}<p>Licence</article>"), 0, "h", 1) for i in range(3)]
+    # one page again and again, beside four others of another make; and without an article element
+    rows += [(20 + i, "http://b.example/", "<p>One copied<p>Story", 0, "h", 1) for i in range(6)] + [(30, "http://b.example/x", "<p>Else", 0, "h", 1)]
+    got = {x.page_id: x.text for x in html_extraction.extract_text(_pages(spark, rows)).collect()}
+    assert all(got[i] == "T\n\nOne two\n\nThree" for i in range(6))
+    assert all(got[10 + i] == f"T\n\nOne two\n\nThree\n\nown {i}\n\nLicence" for i in range(3))
+    assert all(got[20 + i] == "One copied\n\nStory" for i in range(6)) and got[30] == "Else"

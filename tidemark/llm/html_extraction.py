@@ -174,7 +174,8 @@ def main_text(page: str | None, template: dict[int, tuple[int, float]]) -> str:
 
     ``template`` has, for tokens of the host's template, their class and their
     mean place in a page.  A token counts as the template's where it comes in
-    its class's order; text pieces that do are no slots.
+    its class's order; text pieces that do are no slots, except in an article or
+    main element, where names alone tell what to drop.
     """
     tokens, pieces = parse(page)
     reached: dict[int, float] = {}
@@ -189,7 +190,11 @@ def main_text(page: str | None, template: dict[int, tuple[int, float]]) -> str:
     for p in pieces:
         if fixed[p.token]:
             fixed[p.token] -= 1
-        elif not p.dropped:
+            # what an article holds is its own, on however many pages it stands
+            template_only = not p.main
+        else:
+            template_only = False
+        if not template_only and not p.dropped:
             free.add(p.block)
     slots = [p for p in pieces if p.block in free and not p.dropped]
     if any(p.main for p in slots):
@@ -254,7 +259,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, stage: Stage, share: float = SHARE, least: int = PAGES, size: int = TOKENS) -> DataFrame:
     """(host, found): for each host with a template, its tokens with their class and mean place."""
-    found = pages.select("host", "key", "html").mapInArrow(lean(_occurrences), "host long, token long, pages long, vector long, place long")
+    # copies of a page are one: however many a host has, they say nothing of its template
+    pages = pages.groupBy("host", "key").agg(F.first("html").alias("html"))
+    found = pages.mapInArrow(lean(_occurrences), "host long, token long, pages long, vector long, place long")
     found = found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"))
     found = stage.write(found.where(F.col("pages") >= least))
     total = found.where("token = 0").select("host", F.col("pages").alias("of_pages"))
@@ -270,13 +277,13 @@ def extract_text(pages: DataFrame, share: float = SHARE, least: int = PAGES) ->
 
     Null and empty html, and pages without an article, have text ''.  A page
     without a host in its url belongs to the host ''.  Hosts with fewer than
-    ``least`` pages have no template: elements' names alone decide.  Where an
+    ``least`` different pages have no template: elements' names alone decide.  Where an
     article or main element holds text, only what is in it is kept; else all
     slots, without blocks that are mostly links.
     """
     stage = Stage(pages.sparkSession, "html-extraction")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"//([^/:?#]+)", 1), F.lit("")))
-    keyed = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("key"))
+    keyed = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"), F.xxhash64("html").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("key"))
     template = templates(keyed, stage, share, least)
     # templates were written, so their size is known: broadcast only if under Spark's threshold, else shuffled
     both = keyed.join(template, "host", "left").select(F.col("page_id").cast("long"), "url", "host", "html", "found")
