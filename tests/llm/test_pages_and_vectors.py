@@ -91,3 +91,10 @@ def test_copies_on_a_host_keep_their_text(spark):
     assert all(got[i] == "T\n\nOne two\n\nThree" for i in range(6))
     assert all(got[10 + i] == f"T\n\nOne two\n\nThree\n\nown {i}\n\nLicence" for i in range(3))
     assert all(got[20 + i] == "One copied\n\nStory" for i in range(6)) and got[30] == "Else"
+
+
+def test_a_template_that_repeats_within_a_page(spark):
+    menu = "<div>Home</div><div>About us</div><div>Contact</div>"
+    rows = [(i, f"http://a.example/{i}", f"<body>{menu}<p>Own {i}</p><p>About us</p>{menu}", 0, "h", 1) for i in range(6)]
+    got = {x.page_id: x.text for x in html_extraction.extract_text(_pages(spark, rows)).collect()}
+    assert all("Home" not in got[i] and "Contact" not in got[i] and got[i].startswith(f"Own {i}") for i in range(6)), got

@@ -5,8 +5,7 @@ tokens: tags, told apart by their path from the root, and pieces of text, told
 apart by path and words.  A token's occurrence vector says how often it occurs
 in each page of the host; tokens with the same vector form an equivalence
 class, and classes that are large and found in most pages belong to the
-template (nested: the class of the whole page holds those of its optional
-parts).  What is left is slots.  Of these the article's are kept: elements that
+template.  Classes are not checked for nesting in one another.  What is left is slots.  Of these the article's are kept: elements that
 hold menus, notices, adverts, forms or comments are told by their names.
 
 Vectors are never laid out: a token's is summed up by the exclusive or of
@@ -169,20 +168,25 @@ def parse(page: str | None) -> tuple[list[int], list[Piece]]:
     return tokens, pieces
 
 
-def main_text(page: str | None, template: dict[int, tuple[int, float]]) -> str:
+def main_text(page: str | None, template: dict[int, tuple[int, float, float]]) -> str:
     """The article's blocks, joined by two newlines; '' if there is none.
 
-    ``template`` has, for tokens of the host's template, their class and their
-    mean place in a page.  A token counts as the template's where it comes in
-    its class's order; text pieces that do are no slots, except in an article or
+    ``template`` has, for tokens of the host's template, their class, their mean
+    place in a page and how often a page that has them does on average.  A token
+    counts as the template's where it comes in its class's order, which begins
+    again as often as the class comes in a page; text pieces that do are no slots, except in an article or
     main element, where names alone tell what to drop.
     """
     tokens, pieces = parse(page)
     reached: dict[int, float] = {}
+    begun: Counter[int] = Counter()  # repetitions of a class after its first
     fixed: Counter[int] = Counter()
     for t in tokens:
         if t in template:
-            of, place = template[t]
+            of, place, times = template[t]
+            if place < reached.get(of, -1.0) and begun[of] + 1 < times:
+                begun[of] += 1
+                reached[of] = -1.0
             if place >= reached.get(of, -1.0):
                 reached[of] = place
                 fixed[t] += 1
@@ -219,7 +223,7 @@ _ALL = (1 << 64) - 1
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, vector, place): tokens of each batch's pages, those of one host put together; token 0 stands for the page."""
+    """(host, token, pages, vector, place, times): tokens of each batch's pages, those of one host put together; token 0 stands for the page."""
     for batch in batches:
         found: dict[tuple[int, int], list] = {}
         for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -232,16 +236,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v ^= v >> 31
                 row = found.get((host, t))
                 if row is None:
-                    found[host, t] = [1, v, first[t]]
+                    found[host, t] = [1, v, first[t], n]
                 else:
                     row[0] += 1
                     row[1] ^= v
                     row[2] += first[t]
-            row = found.setdefault((host, 0), [0, 0, 0])
+                    row[3] += n
+            row = found.setdefault((host, 0), [0, 0, 0, 0])
             row[0] += 1
-        columns = ([h for h, _ in found], [t for _, t in found], [r[0] for r in found.values()], [r[1] for r in found.values()], [r[2] for r in found.values()])
-        arrays = [pa.array(columns[0], pa.int64()), pa.array(np.array(columns[1], np.uint64).view(np.int64)), pa.array(columns[2], pa.int64()), pa.array(np.array(columns[3], np.uint64).view(np.int64)), pa.array(columns[4], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["host", "token", "pages", "vector", "place"])
+        columns = ([h for h, _ in found], [t for _, t in found], [r[0] for r in found.values()], [r[1] for r in found.values()], [r[2] for r in found.values()], [r[3] for r in found.values()])
+        arrays = [pa.array(columns[0], pa.int64()), pa.array(np.array(columns[1], np.uint64).view(np.int64)), pa.array(columns[2], pa.int64()), pa.array(np.array(columns[3], np.uint64).view(np.int64)), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "token", "pages", "vector", "place", "times"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +257,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, pages, found = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
         for k, (host, page) in enumerate(zip(hosts, pages, strict=True)):
             if host not in known:
-                known[host] = {r["token"] & _ALL: (r["of"], r["place"]) for r in found[k].as_py() or ()}
+                known[host] = {r["token"] & _ALL: (r["of"], r["place"], r["times"]) for r in found[k].as_py() or ()}
             texts.append(main_text(page, known[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -261,14 +266,14 @@ def templates(pages: DataFrame, stage: Stage, share: float = SHARE, least: int =
     """(host, found): for each host with a template, its tokens with their class and mean place."""
     # copies of a page are one: however many a host has, they say nothing of its template
     pages = pages.groupBy("host", "key").agg(F.first("html").alias("html"))
-    found = pages.mapInArrow(lean(_occurrences), "host long, token long, pages long, vector long, place long")
-    found = found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"))
+    found = pages.mapInArrow(lean(_occurrences), "host long, token long, pages long, vector long, place long, times long")
+    found = found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"), (F.sum("times") / F.sum("pages")).alias("times"))
     found = stage.write(found.where(F.col("pages") >= least))
     total = found.where("token = 0").select("host", F.col("pages").alias("of_pages"))
     frequent = found.where("token <> 0").join(total, "host").where(F.col("pages") >= share * F.col("of_pages"))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "place")).alias("tokens")).where(F.size("tokens") >= size)
+    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "place", "times")).alias("tokens")).where(F.size("tokens") >= size)
     # a host's template has as many tokens as 1 / share of its average page at most
-    flat = classes.select("host", F.explode(F.transform("tokens", lambda t: F.struct(t["token"].alias("token"), F.col("vector").alias("of"), t["place"].alias("place")))).alias("t"))
+    flat = classes.select("host", F.explode(F.transform("tokens", lambda t: F.struct(t["token"].alias("token"), F.col("vector").alias("of"), t["place"].alias("place"), t["times"].alias("times")))).alias("t"))
     return stage.write(flat.groupBy("host").agg(F.collect_list("t").alias("found")))
 
 
