@@ -362,6 +362,30 @@ def test_lm_base_and_model(docs, texts, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_lm_weights_are_fitted_to_every_training_text_once(spark, tmp_path, monkeypatch):
+    """Texts given to the trainer leave a file each; null ids aren't dealt as they aren't of the fold."""
+    rows = [(d, f"text {d} " + _random(d, 5)) for d in range(200)] + [(None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    real = lm_scoring._trained
+
+    def noting(tokenizer, sent):
+        train = real(tokenizer, sent)
+
+        def run(batches):
+            held = list(batches)
+            for batch in held:
+                for text in batch.column(0):
+                    with open(f"{tmp_path}/{text.as_py().split()[1]}", "a") as f:
+                        f.write("x")
+            yield from train(iter(held))
+
+        return run
+
+    monkeypatch.setattr(lm_scoring, "_trained", noting)
+    lm_scoring.learn(df, F.col("doc_id") % 7 != 2, lm_scoring.Stage(spark, "lm-test"))
+    assert {f.name: f.read_text() for f in tmp_path.iterdir()} == {str(d): "x" for d in range(200) if d % 7 != 2}
+
+
 def test_lm_is_a_distribution_and_learns():
     import numpy as np
 
