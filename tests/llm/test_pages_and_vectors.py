@@ -98,3 +98,21 @@ def test_a_template_that_repeats_within_a_page(spark):
     rows = [(i, f"http://a.example/{i}", f"<body>{menu}<p>Own {i}</p><p>About us</p>{menu}", 0, "h", 1) for i in range(6)]
     got = {x.page_id: x.text for x in html_extraction.extract_text(_pages(spark, rows)).collect()}
     assert all("Home" not in got[i] and "Contact" not in got[i] and got[i].startswith(f"Own {i}") for i in range(6)), got
+
+
+def test_probes_are_chosen_for_other_vectors():
+    """At 80000 vectors the sample holds one neighbour of each that asks; finding itself must not count for half."""
+    recall = []
+    for seed in (0, 4, 5):
+        r = np.random.default_rng(seed)
+        x = r.standard_normal((80_000, 64))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        index = neighbours.Index(64, 4, float(np.sqrt((x * x).sum(1)).max()), seed=seed)
+        probes = neighbours.choose_probes(index, x[: neighbours.SAMPLE], len(x), 20)
+        keys, asked = index.of_vectors(x), np.arange(5000, 80_000, 750)
+        scores = x[asked] @ x.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        best = np.argpartition(-scores, 20, 1)[:, :20]
+        hit = [np.any([np.isin(keys[b, t], p[:probes]) for t, p in enumerate(per)], 0).mean() for b, per in zip(best, index.probes(x[asked], probes), strict=True)]
+        recall.append(np.mean(hit))
+    assert min(recall) >= neighbours.AIM - 0.02, recall

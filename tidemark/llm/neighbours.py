@@ -37,6 +37,8 @@ TABLES = 6
 WIDTH = 1.2
 #: Vectors that the choice of the number of probes looks at, at most: those whose hashed id is smallest.
 SAMPLE = 4096
+#: Of these, as many ask.
+ASKED = 400
 #: Recall that the sample must reach; above what is asked for, as a sample's estimate scatters.
 AIM = 0.95
 #: Vectors of a bucket that meet a query in one task, on average.
@@ -106,14 +108,16 @@ def choose_probes(index: Index, sample: np.ndarray, total: int, k: int, aim: flo
     """The fewest probes a table with which the sample's vectors find their neighbours within the sample.
 
     Of ``total`` vectors the k nearest correspond to the k * share nearest of a
-    sample of that share.
+    sample of that share.  A vector that asks is no neighbour of its own.
     """
     near = max(1, min(len(sample) - 1, round(k * len(sample) / max(total, 1))))
     if len(sample) < 2:
         return 1
-    asked = sample[:: max(1, len(sample) // 100)]
+    own = np.arange(0, len(sample), max(1, len(sample) // ASKED))
+    asked = sample[own]
     scores = asked @ sample.T
-    truth = np.argsort(-scores, 1, kind="stable")[:, : near + 1]
+    scores[np.arange(len(own)), own] = -np.inf
+    truth = np.argsort(-scores, 1, kind="stable")[:, :near]
     keys = index.of_vectors(sample)
     most = 3**index.hashes
     lists = index.probes(asked, most)
