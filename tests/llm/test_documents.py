@@ -263,6 +263,17 @@ def test_mixing_awkward_rows(docs, texts, empty):
     assert mixing.materialise(docs).columns == docs.columns
 
 
+def test_materialised_rows_that_share_an_id_keep_their_own_copies(spark):
+    rows = [(None if d % 2 else 7, f"w{d % 50} " + "w " * (d % 9), f"s{d % 3}") for d in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    due, got = collections.Counter(), collections.Counter()
+    for x in mixing.mix(df).collect():
+        due[x.doc_id, x.source, x.size] += x.copies + (2 * x.part >= max(x.size, 1))
+    for x in mixing.materialise(df).collect():
+        got[x.doc_id, x.source, len(x.text.split())] += 1
+    assert got == +due
+
+
 def test_packing_holds_every_id_once(docs, texts, empty):
     from tidemark.llm.tokens import word_tokenizer
 

@@ -85,7 +85,7 @@ def _rounded(units: str, seed: int) -> str:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, part, taken: how much of each row of ``docs`` the mix takes.
+    """doc_id, source, size, source_size, target, tie (hash of the text), copies, part, taken: how much of each row of ``docs`` the mix takes.
 
     ``docs`` has doc_id, text and source; further columns are ignored.  copies
     is a whole number of times, part the words taken once more from the one
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     both = sized.alias("d").join(per.select(F.col("source").alias("of"), "source_size", "target", "n"), F.col("d.source").eqNullSafe(F.col("of"))).drop("of")
     both = both.withColumn("given", given).withColumn("copies", F.floor("given")).withColumn("x", F.col("given") - F.floor("given"))
     whole = (F.col("size") == 0) | (F.col("x") <= 1e-12) | (F.col("x") >= 1 - 1e-12)
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    keep = ["doc_id", "source", "size", "source_size", "target", "tie"]
     parts = [both.where(whole).select(*keep, F.when(F.col("size") == 0, F.lit(0)).otherwise(F.round("given")).cast("long").alias("copies"), F.lit(0).cast("long").alias("part"))]
     per_source = ["source", "source_size", "target", "given", "blocks"]
     units = both.where(~whole).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("blocks")))
@@ -116,10 +116,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         plain = F.expr("transform(units, u -> named_struct('doc_id', u.doc_id, 'size', u.size, 'x', u.x, 'tie', u.tie))")
         done = stage.write(grouped.withColumn("units", plain).withColumn("done", F.expr(_rounded("units", seed + level))).drop("units"))
         settled = done.select(*per_source, F.explode("done.settled").alias("u"))
-        parts.append(settled.select("u.doc_id", "source", "u.size", "source_size", "target", (F.floor("given") + F.round("u.x")).cast("long").alias("copies"), F.lit(0).cast("long").alias("part")))
+        parts.append(settled.select("u.doc_id", "source", "u.size", "source_size", "target", "u.tie", (F.floor("given") + F.round("u.x")).cast("long").alias("copies"), F.lit(0).cast("long").alias("part")))
         left = done.where("done.left IS NOT NULL").select(*per_source, F.floor(F.col("block") / block).cast("long").alias("block"), "done.left.*")
         if level == levels:
-            parts.append(left.select("doc_id", "source", "size", "source_size", "target", F.floor("given").cast("long").alias("copies"), F.round(F.col("x") * F.col("size")).cast("long").alias("part")))
+            parts.append(left.select("doc_id", "source", "size", "source_size", "target", "tie", F.floor("given").cast("long").alias("copies"), F.round(F.col("x") * F.col("size")).cast("long").alias("part")))
         units = left
     out = parts[0]
     for p in parts[1:]:
@@ -132,12 +132,19 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
 
     Texts are never cut: the document that a source leaves fractional is taken
     once more if at least half of it was due.  Rows are matched on doc_id,
-    size and source; equal rows share their copies.  Rows of size 0 carry no
-    words and are not in the mix.
+    source, size and text; rows equal in these are dealt the sum of their
+    copies.  Rows of size 0 carry no words and are not in the mix.
     """
     taken = mix(docs, **options)
-    taken = taken.withColumn("copies", F.col("copies") + (2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long")).where("copies > 0")
-    once = taken.groupBy("doc_id").agg(F.min("copies").alias("_copies"))
+    taken = taken.withColumn("copies", F.col("copies") + (2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long"))
+    key = ["doc_id", "source", "size", "tie"]
+    once = taken.groupBy(*(F.col(c).alias(f"_of_{c}") for c in key)).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     names = docs.columns
-    kept = docs.where(word_count(F.col("text")) > 0).join(once, docs["doc_id"].eqNullSafe(once["doc_id"])).drop(once["doc_id"])
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    kept = docs.withColumn("_doc_id", F.col("doc_id")).withColumn("_source", F.col("source")).withColumn("_size", word_count(F.col("text"))).withColumn("_tie", F.coalesce(F.xxhash64("text"), F.lit(0))).where("_size > 0")
+    equal = Window.partitionBy(*(f"_{c}" for c in key))
+    kept = kept.withColumn("_rank", F.row_number().over(equal.orderBy(F.lit(1)))).withColumn("_rows", F.max("_rank").over(equal))
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(f"_{c}").eqNullSafe(F.col(f"_of_{c}"))
+    kept = kept.join(once, on).withColumn("_own", F.expr("_copies div _rows + if(_rank <= _copies % _rows, 1, 0)")).where("_own > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(*names)
