@@ -127,26 +127,30 @@ def fit(texts: list[str | None], labels: list[int], lengths: tuple[int, ...] = L
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: int = 5, held_out: int = 0, seed: int = SEED) -> Model:
     """Fit on at most ``rows`` labelled documents of each class, none of the held-out fold.
 
-    Rows with a null label or doc_id, or without a document, are not used.
-    Sampled rows are those with the smallest hash of doc_id, so the sample is
-    the same however the tables are partitioned; at most 2 * rows texts reach
-    the driver.
+    Rows with a null label or doc_id, or without a document, are not used.  A
+    document labelled both ways counts as toxic.  Of rows that repeat a doc_id
+    one is used, that of the least text.  Null and empty texts are used as
+    texts without features, long ones whole.  Sampled rows are those with the
+    smallest hash of doc_id, so the sample is the same however the tables are
+    partitioned; at most 2 * rows texts reach the driver.  Without labelled
+    rows every text scores 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(crc_mod("doc_id", fold) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(seed))
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     # at most 2 * rows pairs of numbers: a proven bound
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    texts.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    texts.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in texts], [r["toxic"] for r in texts])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score double and predicted int (which replace columns of those names).
 
-    Every row is scored from its whole text alone; null and empty texts have
-    the score of a text without features.
+    Every row is scored from its whole text alone, however long; null and
+    empty texts have the score of a text without features; equal texts have
+    equal scores, and repeated rows are each returned.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits floats: a fixed size
     names = [c for c in docs.columns if c not in ("score", "predicted")]
