@@ -152,7 +152,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts, and texts of white space, have no shingles, link with nothing and
     are kept.  Rows with a null doc_id link with nothing, have a null
     component_id and are kept.  Rows that repeat a doc_id and text are each
-    returned.  Rows in any order and partitioning give the same result.
+    returned.  Rows that share a doc_id but not the text are one node: both
+    texts' groups become one.  Texts are compared whole, however long.  An
+    empty table gives no rows.  Rows in any order and partitioning give the
+    same result.
     """
     stage = Stage(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,6 +210,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest doc_id; further rows of that doc_id stay too."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs``, all its columns as they were, with one document of each group: that of the smallest doc_id.
+
+    Rows that share a doc_id stay or go together.  Null, empty and blank texts
+    and null doc_ids stay.
+    """
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("of")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == gone["of"], "left_anti")
