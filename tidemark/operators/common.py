@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; in local mode, where that is unset, one of this machine's."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder in spark.checkpoint.dir (a local one only where that is unset) and read from there."""
+    """``df``, written as Parquet to the shared folder and read from there; removed when the process ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        context.setCheckpointDir(at)
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/tidemark/table-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -225,3 +225,13 @@ def coverage_matrix(figures: DataFrame, years: list[int], row: str = "metric", c
 def unverified(draft: DataFrame, verified: DataFrame) -> DataFrame:
     """Rows of pages that have not been verified."""
     return draft.join(verified.select("source", "page").distinct(), ["source", "page"], "left_anti")
+
+
+def coverage(figures: DataFrame) -> DataFrame:
+    """company, n_reports, n_did_rows, did_years, did_metrics, n_target_rows, target_metrics: what a company's figures cover."""
+    target = is_target(F.col("metric"))
+    of = lambda when, c: F.sort_array(F.collect_set(F.when(when, F.col(c))))
+    return figures.groupBy("company").agg(
+        F.count_distinct("source").alias("n_reports"), F.count_if(~target).alias("n_did_rows"), of(~target, "year").alias("did_years"), of(~target, "metric").alias("did_metrics"),
+        F.count_if(target).alias("n_target_rows"), of(target, "metric").alias("target_metrics"),
+    )

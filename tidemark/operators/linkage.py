@@ -110,6 +110,12 @@ def say_do_links(claims: DataFrame, figures: DataFrame, lexicon: Lexicon = Lexic
     return glidepath(tied).where("status is not null")
 
 
+def excluded_targets(claims: DataFrame) -> DataFrame:
+    """company, n_targets, n_excluded: targets, and those of them that are negated or conditional and so tied to nothing."""
+    no_commitment = F.coalesce("negated", F.lit(False)) | F.coalesce("conditional", F.lit(False))
+    return claims.where("claim_type = 'target'").groupBy("company").agg(F.count("*").alias("n_targets"), F.count_if(no_commitment).alias("n_excluded"))
+
+
 def say_do_score(links: DataFrame, companies: DataFrame, least: int = Settings.min_links) -> DataFrame:
     """company, n_measurable, n_behind, say_do_gap: null with too few links or with shares alone."""
     per = links.groupBy("company").agg(F.count("*").alias("n_measurable"), F.count_if(F.col("status") != "on_track").alias("n_behind"), F.bool_and(F.col("family").isin(*UP_FAMILIES)).alias("only_shares"))

@@ -15,7 +15,8 @@ TEXT_THRESHOLD, SLOT_THRESHOLD, SAME_WORDING, SPECIFICITY_DROP = 0.55, 0.60, 0.9
 #: What agreeing slots are worth, and the scale of commitment.
 FAMILY, SCOPE, DEADLINE, KIND = 0.40, 0.20, 0.20, 0.20
 RANKS = (("firm", 2), ("hedged", 1), ("", 0))
-PRIORITY = ("commitment_negated", "achievement_reverted_to_aspiration", "commitment_softened", "deadline_pushed", "deadline_dropped", "quantity_dropped", "scope_narrowed", "specificity_fell", "boilerplate_recycled")
+#: Kinds of events in the order in which they are reported.
+PRIORITY = ("commitment_softened", "achievement_reverted_to_aspiration", "commitment_negated", "deadline_dropped", "deadline_pushed", "quantity_dropped", "scope_narrowed", "specificity_fell", "boilerplate_recycled")
 
 
 def consecutive(reports: DataFrame, group: str = "company", year: str = "publish_year") -> DataFrame:
@@ -148,6 +149,9 @@ def _rank(tier: Column) -> Column:
     return out
 
 
+# ---- fixed texts of events
+
+
 def differences(old: str, new: str, similarity: Column) -> Column:
     """array of struct(type, detail): what got weaker from one claim (a struct column) to the next."""
     o, n = (lambda f: F.col(f"{old}.{f}")), (lambda f: F.col(f"{new}.{f}"))
@@ -194,6 +198,8 @@ def language_drift(claims: DataFrame, lexicon: Lexicon = Lexicon(), group: str =
     return out.select(group, "event.type", "event.detail", F.col("publish_year").alias("from_year"), F.col("next").alias("to_year"), text.alias("tfidf_similarity"), "slot_similarity", via.alias("matched_via"), "matched_slots", "i", "j", "old", "new")
 
 
-def by_priority(events: DataFrame) -> DataFrame:
-    """Events in the fixed order of their kinds."""
-    return events.orderBy(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("type")), "from_year", "i", "j")
+def by_priority(events: DataFrame, most: int | None = None, group: str = "company") -> DataFrame:
+    """``events`` with rank: their place within the group in the fixed order of their kinds; the first ``most`` of each group."""
+    order = Window.partitionBy(group).orderBy(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("type")), "from_year", "i", "j")
+    out = events.withColumn("rank", F.row_number().over(order))
+    return out if most is None else out.where(F.col("rank") <= most)

@@ -104,32 +104,96 @@ def most_damaging(claims: DataFrame, most: int = 5) -> DataFrame:
     return claims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-#: How event kinds are named in the document.
+def top_sins(tagged: DataFrame, most: int = 25) -> DataFrame:
+    """Tagged claims of the greatest severity, in their order where equal."""
+    order = Window.partitionBy("company").orderBy(F.col("max_severity").desc(), "ord")
+    return tagged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+#: How kinds of events and claims are named in the document.
 NAMED = {"commitment_negated": "commitment_dropped"}
+CLAIM_TYPES = {"target": "target", "achievement": "achievement", "attribute": "product_label"}
 
 
 def contract_events(events: DataFrame) -> DataFrame:
-    """Language events as the document has them: two kinds, texts of at most 300 characters, and no page (it is text in the source)."""
+    """Language events (ord: their place) as the document has them: two kinds, texts of at most 300 characters, and no page (it is text in the source)."""
     kind = F.when(F.col("type") == "commitment_negated", NAMED["commitment_negated"]).otherwise("wording_softened")
+    number = F.row_number().over(Window.partitionBy("company").orderBy("ord")) - 1
     return events.select(
-        "company", F.col("to_year").alias("year"), kind.alias("type"), F.substring("old.sentence", 1, 300).alias("old"), F.substring("new.sentence", 1, 300).alias("new"),
-        F.lit(None).cast("int").alias("page"), F.concat_ws(": ", "type", "detail").alias("description"), F.col("matched_via").alias("match_basis"), "matched_slots",
+        "company", F.format_string("%s-lang-%03d", "company", number).alias("drift_id"), F.col("to_year").alias("year"), kind.alias("type"), F.lit(None).cast("string").alias("canonical_metric"),
+        F.substring("old.sentence", 1, 300).alias("old"), F.substring("new.sentence", 1, 300).alias("new"), F.lit(None).cast("double").alias("magnitude_pct"),
+        F.format_string("[%s] %s", "type", "detail").alias("description"), F.lit(None).cast("int").alias("page"), F.col("matched_via").alias("match_basis"), "matched_slots",
     )
 
 
+FEATURES = ("vague_ratio", "hedging_ratio", "future_ratio", "quantification_present", "baseline_present", "date_present", "scope_present", "verification_present", "specificity_score", "readability", "sentiment", "negated", "conditional", "highlights", "report_assured")
+
+
 def contract_claims(claims: DataFrame) -> DataFrame:
-    """Claims with sins (list-append by sentence) and links (the last one by sentence) must be joined before; this projects and casts."""
-    kinds = F.when(F.col("claim_type").isin("target", "achievement", "attribute"), F.col("claim_type")).otherwise("other")
-    return claims.withColumns({"claim_type": kinds, "baseline": F.col("baseline").try_cast("int"), "deadline": F.col("deadline").try_cast("int")})
+    """Claims as the document has them, from :func:`top_claims` (rank) and :func:`with_sins_and_links` (sins, link).
+
+    The target's value is the quantity where that is a number, else the first
+    number in it; years and pages are those that are digits alone.
+    """
+    c = F.col
+    kinds = F.lit("general")
+    for name, named in CLAIM_TYPES.items():
+        kinds = F.when(c("claim_type") == name, named).otherwise(kinds)
+    digits = lambda n: F.when(c(n).cast("string").rlike("^[0-9]+$"), c(n).try_cast("int"))
+    value = F.coalesce(c("quantity").try_cast("double"), F.replace(F.regexp_extract("quantity", r"[\d,.]+", 0), F.lit(","), F.lit("")).try_cast("double"))
+    name = F.regexp_extract(F.coalesce("source_file", F.lit("")), "[^/]*$", 0)
+    features = F.struct(*(c(f).alias("vague_word_ratio" if f == "vague_ratio" else "future_orientation_ratio" if f == "future_ratio" else f) for f in FEATURES if f in claims.columns))
+    null = F.lit(None)
+    return claims.select(
+        "company", F.format_string("%s-claim-%04d", "company", c("rank") - 1).alias("claim_id"), c("sentence").alias("claim_text"), kinds.alias("claim_type"), c("link.family").alias("metric"), c("link.metric").alias("canonical_metric"),
+        value.alias("target_value"), null.cast("string").alias("unit"), digits("baseline").alias("baseline_year"), digits("deadline").alias("target_year"), F.nullif(c("scope"), F.lit("")).alias("scope"),
+        F.coalesce("verification_present", F.lit(False)).alias("has_third_party_verification"), null.cast("string").alias("verifier_name"), F.concat(name, F.lit("#p"), F.coalesce(c("page").cast("string"), F.lit("None"))).alias("chunk_id"), name.alias("doc_name"),
+        "publish_year", digits("page").alias("page"), features.alias("features"), F.coalesce("sins", F.array().cast(claims.schema["sins"].dataType)).alias("sins"), F.array().cast("array<string>").alias("evidence_ids"), c("link.status").alias("progress_status"), null.cast("string").alias("debate"),
+    )
 
 
 def with_sins_and_links(claims: DataFrame, tagged: DataFrame, links: DataFrame) -> DataFrame:
-    """``claims`` (company, sentence) with all sins tagged for the sentence, and the status of its last link."""
-    sins = tagged.groupBy("company", "sentence").agg(F.flatten(F.collect_list("sins")).alias("sins"))
+    """``claims`` (company, sentence) with all sins tagged for the sentence, in the order of ``ord``, and the status of its last link."""
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("ord", "sins"))), lambda t: t["sins"])
+    sins = tagged.groupBy("company", "sentence").agg(F.flatten(in_order).alias("sins"))
     last = links.groupBy("company", "sentence").agg(F.max_by(F.struct("status", "family", "metric"), F.col("ord")).alias("link"))
     return claims.join(sins, ["company", "sentence"], "left").join(last, ["company", "sentence"], "left")
 
 
+def timeline(figures: DataFrame, events: DataFrame, claims: DataFrame, most: int = 12) -> DataFrame:
+    """company, year, did_points, drift_ids, said_claim_ids for each year of a company's figures.
+
+    did_points are the year's figures as told now, drift_ids the events about
+    the year, said_claim_ids the first claims published in it.
+    """
+    years = figures.select("company", "year").distinct()
+    points = figures.groupBy("company", "year").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("did_points"))
+    drift = events.groupBy("company", "year").agg(F.sort_array(F.collect_list("drift_id")).alias("drift_ids"))
+    # only the first ids of each year are ever put together
+    first = F.row_number().over(Window.partitionBy("company", "publish_year").orderBy("claim_id"))
+    said = claims.withColumn("_n", first).where(F.col("_n") <= most).groupBy("company", F.col("publish_year").alias("year")).agg(F.sort_array(F.collect_list("claim_id")).alias("said_claim_ids"))
+    out = years.join(points, ["company", "year"], "left").join(drift, ["company", "year"], "left").join(said, ["company", "year"], "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("drift_ids", "said_claim_ids")})
+
+
+def company_index(summaries: DataFrame) -> DataFrame:
+    """One line for each company of ``summaries`` (company, the sub-scores, n_quotes): scores, abstention, confidence, and its place among its peers."""
+    s = blended(summaries)
+    s = with_percentile(s, "goalpost_drift")
+    return s.select("company", F.col("overall").alias("overall_score"), F.col("overall").isNull().alias("abstain"), "goalpost_drift", confidence(F.col("n_measured"), F.col("n_quotes")).alias("confidence"), "peer_percentile")
+
+
+def first_companies(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of the first companies by name."""
+    return rows.join(F.broadcast(rows.select("company").distinct().orderBy("company").limit(most)), "company", "left_semi")
+
+
+def sampled(rows: DataFrame, most: int, seed: int, by: str = "id") -> DataFrame:
+    """``most`` rows, those whose id and seed have the least hash: the same however the rows are partitioned."""
+    return rows.orderBy(F.md5(F.concat_ws("#", F.col(by).cast("string"), F.lit(str(seed)))), by).limit(most)
+
+
 def documents(companies: DataFrame, **parts: DataFrame) -> DataFrame:
     """One nested row for each company: each part (with a column company) as an ordered array of its rows."""
     out = companies.select("company").distinct()

@@ -41,10 +41,21 @@ METRICS = (
     ("Scope 3", r"\bscope\s*3\b"),
     ("Renewable electricity share", r"share of renewable electricity|renewable electricity share|renewable electricity in own operations"),
 )
+#: A company's own metric, besides those above.
+COMPANY_METRICS = {
+    "hm": ("Recycled materials share", r"share of recycled materials?|recycled materials?\s*\(%\)"),
+    "microsoft": ("Carbon removal contracted", r"carbon removal (?:credits?|contracted)|tons? of carbon removal"),
+    "delta": ("SAF volume", r"sustainable aviation fuel|\bSAF\b"),
+}
 PERCENTAGES = ("Renewable electricity share", "Recycled materials share")
 EMISSIONS = ("Scope 1", "Scope 2 market-based", "Scope 2 location-based", "Scope 3 total (excl. use-phase)", "Scope 3 total (incl. use-phase)", "Carbon removal contracted")
 
 
+def metrics_for(company: str) -> tuple[tuple[str, str], ...]:
+    """The metrics to look for in a company's reports."""
+    return (*METRICS, COMPANY_METRICS[company]) if company in COMPANY_METRICS else METRICS
+
+
 def word_rows(words: DataFrame) -> DataFrame:
     """doc, page, row (its order on the page), words (left to right) and text."""
     key = F.bround(F.col("top") / ROW_HEIGHT, 0)
@@ -122,15 +133,26 @@ def consistency(values: Column, years: Column, extra: Column) -> Column:
 
 
 def candidate_pages(rows: DataFrame, metrics: tuple[tuple[str, str], ...] = METRICS, most: int = 5) -> DataFrame:
-    """doc, page of pages with a metric's label and a header of three or more years; of each document the first ones."""
+    """doc, page of pages with a metric's label and a header of three or more years; of each document the first ones.
+
+    The label may run over rows: it is looked for in the page's text as a whole.
+    """
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda r: r["text"])
+    pages = rows.groupBy("doc", "page").agg(F.array_join(lines, " ").alias("whole"), F.max(F.coalesce(F.size(header_years(F.col("text"))), F.lit(0))).alias("n"))
     label = F.lit(False)
     for _, p in metrics:
-        label = label | F.col("text").rlike("(?iu)" + p)
-    pages = rows.groupBy("doc", "page").agg(F.bool_or(label).alias("a"), F.max(F.coalesce(F.size(header_years(F.col("text"))), F.lit(0))).alias("n")).where("a and n >= 3")
+        label = label | F.col("whole").rlike("(?iu)" + p)
+    pages = pages.where(label & (F.col("n") >= 3))
     order = Window.partitionBy("doc").orderBy("page")
     return pages.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc", "page")
 
 
+def in_order(drafts: DataFrame) -> DataFrame:
+    """Figures found, with rank: their place within the document by metric, year and page."""
+    order = Window.partitionBy("doc").orderBy("metric", F.col("year").cast("string"), "page", "row")
+    return drafts.where("status = 'ok'").withColumn("rank", F.row_number().over(order))
+
+
 def draft(rows: DataFrame, metrics: tuple[tuple[str, str], ...] = METRICS) -> DataFrame:
     """Every row with a metric's label: a row for each figure (status ok), or one with the reason why there is none.
 

@@ -245,7 +245,9 @@ _STATEMENT = (
 
 
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("company"), F.year("o_orderdate").alias("publish_year"), F.expr(_STATEMENT).alias("sentence"))
+    s = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("company"), F.year("o_orderdate").alias("publish_year"))
+    # a small file is one split, and each sentence costs far more to read than its key to move
+    s = s.repartition(max(s.sparkSession.sparkContext.defaultParallelism, 8), "id").withColumn("sentence", F.expr(_STATEMENT)).drop("o_orderkey")
     return with_slots(s, Lexicon()).withColumn("ord", F.col("id"))
 
 
@@ -428,24 +430,28 @@ def nested_documents(spark, sf_dir):
     return scoring.documents(figures, drift_events=facts.drift_events(figures).select("company", "drift_id", "year", "type", "canonical_metric", "old", "new", "magnitude_pct"), series=facts.latest_series(figures).select("company", "metric", "year", "value"), scores=facts.drift_by_company(figures))
 
 
-@query()
+@query(f"""WITH raw AS (SELECT {_FIGURE[0]} AS company, {_FIGURE[1]} AS year, {_FIGURE[2]} AS metric, {_FIGURE[3]} AS pub, value, event_id FROM events),
+last AS (SELECT company, year, metric, pub, arg_max(value, event_id) AS value FROM raw GROUP BY company, year, metric, pub),
+s AS (SELECT *, lag(value) OVER c AS old, lag(pub) OVER c AS old_pub FROM last WINDOW c AS (PARTITION BY company, year, metric ORDER BY pub)),
+p AS (SELECT *, CASE WHEN old <> 0 THEN (value - old) / abs(old) * 100 END AS pct FROM s WHERE old IS NOT NULL AND old <> value)
+SELECT company, year, metric, old, value AS new, round(pct, 6) AS pct, old_pub, pub AS new_pub FROM p WHERE pct IS NULL OR abs(pct) >= 0.5""")
 def streamed_revisions(spark, sf_dir):
-    """Figures read as a stream, one micro-batch for all that is there, into a table in memory."""
-    import tempfile
+    """Figures read as a stream, in micro-batches of what is there, into Parquet."""
     import uuid
 
+    from ..operators.common import shared_dir
     from ..streaming.revisions import revisions
 
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     company, year, metric, pub = _FIGURE
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if _is_folder(spark, source) else sf_dir + "/event[s].parquet")
-    stream = stream.selectExpr(f"{company} AS company", f"{year} AS year", f"{metric} AS metric", "value", f"{pub} AS pub")
-    name = f"revisions_{uuid.uuid4().hex}"
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    q = revisions(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{top}/{name}").trigger(availableNow=True).start()
+    stream = stream.selectExpr(f"{company} AS company", f"{year} AS year", f"{metric} AS metric", "value", f"{pub} AS pub", "event_id AS ord")
+    top = f"{shared_dir(spark)}/tidemark/revisions-{uuid.uuid4().hex}"
+    out = revisions(stream)
+    q = out.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{top}/rows").withColumn("pct", F.round("pct", 6))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
