@@ -376,19 +376,18 @@ def test_lm_base_and_model(docs, texts, empty):
 def test_lm_weights_are_fitted_to_every_training_text_once(spark, tmp_path, monkeypatch):
     """Texts given to the trainer leave a file each; null ids aren't dealt as they aren't of the fold."""
     rows = [(d, f"text {d} " + _random(d, 5)) for d in range(200)] + [(None, "no id")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "SHARD", 100)  # several shards a round
     real = lm_scoring._trained
 
     def noting(tokenizer, sent):
         train = real(tokenizer, sent)
 
-        def run(batches):
-            held = list(batches)
-            for batch in held:
-                for text in batch.column(0):
-                    with open(f"{tmp_path}/{text.as_py().split()[1]}", "a") as f:
-                        f.write("x")
-            yield from train(iter(held))
+        def run(rows):
+            for text in rows["text"]:
+                with open(f"{tmp_path}/{text.split()[1]}", "a") as f:
+                    f.write("x")
+            return train(rows)
 
         return run
 
@@ -397,6 +396,39 @@ def test_lm_weights_are_fitted_to_every_training_text_once(spark, tmp_path, monk
     assert {f.name: f.read_text() for f in tmp_path.iterdir()} == {str(d): "x" for d in range(200) if d % 7 != 2}
 
 
+def test_lm_scores_equal_a_plain_version_and_do_not_depend_on_partitions(spark, monkeypatch):
+    """The query's scores against a plain loop over positions: softmax, class shares, word ends, and the memory of words."""
+    import numpy as np
+
+    monkeypatch.setattr(lm_scoring, "SHARD", 500)
+    rows = [(d, _random(d, 5 + d % 40, WORDS[:60]) + (f" rare{d}, Word." if d % 3 else "")) for d in range(120)] + [(500, ""), (501, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(df.repartition(2)).collect()}
+    again = {r.doc_id: r.score for r in lm_scoring.score_texts(df.repartition(5)).collect()}
+    assert got == pytest.approx(again, rel=1e-9)
+    learnt = lm_scoring.learn(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, lm_scoring.Stage(spark, "lm-test"))
+    p, v, t = learnt.parameters, learnt.vocabulary, lm_scoring.subwords(lm_scoring.TOKENIZER)
+    words = collections.Counter()
+    for d, text in rows:
+        if binascii.crc32(str(d).encode()) % 7 != 2:
+            words.update([*_words(_lower(text)), "\n"])
+    total, memory = sum(words.values()), 1 - sum(n == 1 for n in words.values()) / sum(words.values())
+    for d, text in rows[::9] + rows[-2:]:
+        ids = t(text)
+        before, real, after, wanted = lm_scoring.windows_of(ids)
+        logits = lm_scoring._forward(p, v, before, real)["logits"].astype(float)[wanted]
+        prob = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        own = [prob[k, v.of[i]] * 10.0 ** v.share[i] for k, i in enumerate(after[wanted])]
+        begin = prob @ v.begins
+        whole, at = 0.0, 0
+        for w in [*_words(_lower(text)), "\n"]:
+            n = len(t(w)) if w != "\n" else 1
+            spelt = np.prod(own[at : at + n]) / begin[at] * (begin[at + n] if w != "\n" else 1)
+            whole += math.log10(memory * words[w] / total + (1 - memory) * spelt)
+            at += n
+        assert at == len(own) and got[d] == pytest.approx(whole, rel=1e-3)
+
+
 def test_lm_is_a_distribution_and_learns():
     import numpy as np
 

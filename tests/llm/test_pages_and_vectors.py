@@ -65,6 +65,21 @@ def test_neighbours_of_small_tables(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_hot_buckets_and_many_queries_meet_in_blocks(spark, monkeypatch):
+    """Blocks of both sides, of a size that the vectors exceed many times: the answers stay the same."""
+    r = np.random.default_rng(2)
+    x = np.round(r.standard_normal((400, 8)), 2)
+    x[:150] = x[0] + np.round(r.standard_normal((150, 8)) * 0.02, 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = {(a.query_id, a.rank): (a.vec_id, a.score) for a in neighbours.nearest(df, F.col("vec_id") % 2 == 0).collect()}
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    assert {(a.query_id, a.rank): (a.vec_id, a.score) for a in neighbours.nearest(df, F.col("vec_id") % 2 == 0).collect()} == whole
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = sum(whole[q, k + 1][0] in np.argsort(-s[q], kind="stable")[:20] for q in range(0, 400, 2) for k in range(20))
+    assert hits >= 0.9 * 200 * 20
+
+
 def test_perturbations_come_in_the_order_of_their_cost():
     r = random.Random(1)
     inside = np.array([r.random() for _ in range(4)])

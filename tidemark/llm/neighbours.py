@@ -10,8 +10,9 @@ projections, in the order of their estimated success: the probability that a
 neighbour, whose projections scatter about the query's, fell there falls with
 the summed squares of distances to the cells' borders.
 
-Buckets are joined with the queries that probe them, divided into blocks of
-bounded size, and a block answers each query with its k best.  Equal vectors
+Buckets are joined with the queries that probe them, both divided into blocks
+of bounded size, and a block of vectors answers each query of a block of
+queries with its k best.  Equal vectors
 are one from the start, with their k + 1 smallest ids, so copies of one vector
 don't fill a bucket.
 """
@@ -41,7 +42,7 @@ SAMPLE = 4096
 ASKED = 400
 #: Recall that the sample must reach; above what is asked for, as a sample's estimate scatters.
 AIM = 0.95
-#: Vectors of a bucket that meet a query in one task, on average.
+#: Vectors of a bucket, and queries that probe it, that meet in one task, on average.
 BLOCK = 4096
 SEED = 97
 
@@ -245,23 +246,33 @@ def _keyed(frame: DataFrame, index: Index, probes: int | None) -> DataFrame:
     return out
 
 
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("table", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+
+def _met(wanted: DataFrame, held: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Each block of queries (with blocks, askers: how many there are of either) against each block of vectors of its group."""
+    places = [*group, "block", "asker"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # the block of a vector and that of a query follow from their hashes
+    wanted = wanted.withColumn("asker", F.pmod(F.col("r"), F.col("askers")).cast("int")).withColumn("block", every("blocks"))
+    held = held.withColumn("block", F.pmod(F.col("q"), F.col("blocks")).cast("int")).withColumn("asker", every("askers"))
+    return wanted.select(*places, "q", "r", "v").groupBy(*places).cogroup(held.select(*places, "ids", "v").groupBy(*places)).applyInPandas(_answer(k), _FOUND)
+
+
 def _probed(vectors: DataFrame, queries: DataFrame, index: Index, probes: int, k: int, stage: Stage) -> DataFrame:
     held = _keyed(vectors.select("q", "r", "v", "ids"), index, None)
-    counts = stage.write(held.groupBy("table", "key").agg(F.count("*").alias("n")).select("table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    # the block of a vector follows from its hash; a query goes to each block of a bucket it probes
-    held = held.join(counts, ["table", "key"]).withColumn("block", F.pmod(F.col("q"), F.col("blocks")).cast("int"))
-    wanted = _keyed(queries.select("q", "r", "v"), index, probes).join(counts, ["table", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = ["table", "key", "block"]
-    return wanted.select(*group, "q", "r", "v").groupBy(*group).cogroup(held.select(*group, "ids", "v").groupBy(*group)).applyInPandas(_answer(k + 1), _FOUND)
+    wanted = stage.write(_keyed(queries.select("q", "r", "v"), index, probes))
+    # buckets that no query probes are left out
+    counts = stage.write(_blocks(held, "blocks").join(_blocks(wanted, "askers"), ["table", "key"]))
+    return _met(wanted.join(counts, ["table", "key"]), held.join(counts, ["table", "key"]), ["table", "key"], k + 1)
 
 
 def _exhaustive(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The queries against all vectors of their length, in blocks of both."""
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / BLOCK))
-    held = vectors.select(F.size("v").alias("dim"), F.pmod("q", F.lit(blocks)).cast("int").alias("block"), "ids", "v")
-    wanted = queries.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q", "r", "v")
-    return wanted.groupBy("dim", "block").cogroup(held.groupBy("dim", "block")).applyInPandas(_answer(k), _FOUND)
+    n, m = vectors.count(), queries.count()
+    sized = {"dim": F.size("v"), "blocks": F.lit(max(1, math.ceil(n / BLOCK))), "askers": F.lit(max(1, math.ceil(m / BLOCK)))}
+    return _met(queries.withColumns(sized), vectors.withColumns(sized), ["dim"], k)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
