@@ -143,7 +143,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     pieces and ``max_loss`` ids of rows whose boolean column ``loss`` is not
     false (without such a column, all rows bear loss).  sequence_id is unique
     over the table: the partition, then a count.  Equal rows are packed each
-    on its own.  with_ids adds the ids themselves.
+    on its own.  A very long text is whole, in as many sequences as it fills.
+    An empty table gives no pieces.  with_ids adds the ids themselves.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
