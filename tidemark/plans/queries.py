@@ -366,19 +366,33 @@ def cross_signal(spark, sf_dir):
 _NAMED = "SELECT p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, p_partkey AS id, p_name AS text FROM part"
 
 
-@query(f"""WITH t AS ({_NAMED}), ws AS (SELECT p_brand, side, id, ' ' || unnest(string_split(text, ' ')) || ' ' AS pad FROM t),
+_PAIRS = f"""t AS ({_NAMED}), ws AS (SELECT p_brand, side, id, ' ' || unnest(string_split(text, ' ')) || ' ' AS pad FROM t),
 g AS (SELECT p_brand, side, id, unnest(list_concat(list_transform(range(1, greatest(1, len(pad) - 3) + 1), lambda i: substr(pad, i, 4)), CASE WHEN len(pad) > 4 THEN list_transform(range(1, greatest(1, len(pad) - 4) + 1), lambda i: substr(pad, i, 5)) ELSE [] END)) AS gram FROM ws),
 tf AS (SELECT p_brand, side, id, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT p_brand, gram, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT p_brand, count(*) AS n FROM t GROUP BY ALL),
 x AS (SELECT tf.p_brand, side, id, tf.gram, tf * (ln((1e0 + n) / (1e0 + df)) + 1) AS w FROM tf JOIN df ON tf.p_brand = df.p_brand AND tf.gram = df.gram JOIN n ON tf.p_brand = n.p_brand),
 u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY p_brand, side, id)) AS v FROM x),
-s AS (SELECT a.p_brand, a.id AS i, b.id AS j, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.p_brand = b.p_brand AND a.gram = b.gram AND a.side = 'a' AND b.side = 'b' GROUP BY ALL)
-SELECT p_brand, i, j, round(s, 4) AS similarity FROM s WHERE s >= 0.55""")
+s AS (SELECT a.p_brand, a.id AS i, b.id AS j, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.p_brand = b.p_brand AND a.gram = b.gram AND a.side = 'a' AND b.side = 'b' GROUP BY ALL),
+pairs AS (SELECT p_brand, i, j, round(s, 4) AS similarity FROM s WHERE s >= 0.55)"""
+
+
+@query(f"WITH {_PAIRS} SELECT p_brand, i, j, similarity FROM pairs")
 def similar_pairs(spark, sf_dir):
     t = _table(spark, sf_dir, "part").selectExpr("p_brand", "CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS side", "p_partkey AS id", "p_name AS text")
     return matching.similarities(t, ["p_brand"]).withColumn("similarity", F.round("similarity", 4))
 
 
-@query()
+def _greedy_sql(pairs: str, keys: str) -> str:
+    """CTEs in_turn, walk and taken: pairs (keys, i, j, rank) looked at one after another, in order of rank; each id of either side is taken once."""
+    of = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    same = " AND ".join(f"p.{k.strip()} = w.{k.strip()}" for k in keys.split(","))
+    free = "NOT list_contains(w.is_, p.i) AND NOT list_contains(w.js, p.j)"
+    return f"""in_turn AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rank DESC, i, j) AS n FROM {pairs}),
+walk AS (SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS is_, CAST([] AS BIGINT[]) AS js, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, false AS free FROM in_turn
+  UNION ALL SELECT {of}, p.n, CASE WHEN {free} THEN list_append(w.is_, p.i) ELSE w.is_ END, CASE WHEN {free} THEN list_append(w.js, p.j) ELSE w.js END, p.i, p.j, {free} FROM walk w JOIN in_turn p ON {same} AND p.n = w.n + 1),
+taken AS (SELECT p.* FROM in_turn p JOIN walk w ON {same} AND p.n = w.n WHERE w.free)"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, ranked AS (SELECT p_brand, i, j, similarity AS rank FROM pairs), {_greedy_sql('ranked', 'p_brand')} SELECT p_brand, i, j, rank FROM taken")
 def greedy_match(spark, sf_dir):
     return matching.greedy_matches(similar_pairs(spark, sf_dir).withColumnRenamed("similarity", "rank"), ["p_brand"])
 
@@ -390,17 +404,51 @@ def _small_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_features(with_slots(s, Lexicon())).withColumn("ord", F.col("id"))
 
 
-@query()
+_SMALL = _SLOTS.replace("o_orderpriority", "'n' || CAST(s_nationkey AS STRING)").replace("year(o_orderdate)", "2020 + s_suppkey % 3").replace("FROM orders", "FROM supplier").replace("o_orderkey", "s_suppkey")
+_SAME = "lower(replace(o.scope, ' ', '_')) = lower(replace(n.scope, ' ', '_'))"  # the family follows from the scope
+
+
+@query(f"""WITH RECURSIVE {_SMALL}, years AS (SELECT DISTINCT company, publish_year FROM st), steps AS (SELECT company, publish_year, lead(publish_year) OVER (PARTITION BY company ORDER BY publish_year) AS next FROM years),
+t AS (SELECT s.company, s.publish_year, s.next, 'a' AS side, st.id, lower(st.sentence) AS text FROM steps s JOIN st ON s.company = st.company AND s.publish_year = st.publish_year WHERE next IS NOT NULL
+  UNION ALL SELECT s.company, s.publish_year, s.next, 'b', st.id, lower(st.sentence) FROM steps s JOIN st ON s.company = st.company AND s.next = st.publish_year),
+ws AS (SELECT company, publish_year, side, id, ' ' || unnest(string_split(text, ' ')) || ' ' AS pad FROM t),
+g AS (SELECT company, publish_year, side, id, unnest(list_concat(list_transform(range(1, greatest(1, len(pad) - 3) + 1), lambda i: substr(pad, i, 4)), CASE WHEN len(pad) > 4 THEN list_transform(range(1, greatest(1, len(pad) - 4) + 1), lambda i: substr(pad, i, 5)) ELSE [] END)) AS gram FROM ws),
+tf AS (SELECT company, publish_year, side, id, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT company, publish_year, gram, count(*) AS df FROM tf GROUP BY ALL), c AS (SELECT company, publish_year, count(*) AS n FROM t GROUP BY ALL),
+x AS (SELECT tf.*, tf * (ln((1e0 + n) / (1e0 + df)) + 1) AS w FROM tf JOIN df USING (company, publish_year, gram) JOIN c USING (company, publish_year)),
+u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY company, publish_year, side, id)) AS v FROM x),
+dots AS (SELECT a.company, a.publish_year, a.id AS i, b.id AS j, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.company = b.company AND a.publish_year = b.publish_year AND a.gram = b.gram AND a.side = 'a' AND b.side = 'b' GROUP BY ALL),
+p AS (SELECT s.company, s.publish_year, s.next, o.id AS i, n.id AS j, CASE WHEN d.s >= 0.55 THEN d.s END AS sim,
+  round(CASE WHEN {_SAME} THEN 0.6 ELSE 0 END + CASE WHEN o.deadline = n.deadline THEN 0.2 WHEN abs(CAST(o.deadline AS INT) - CAST(n.deadline AS INT)) = 1 THEN 0.1 ELSE 0 END + 0.2, 3) AS slot,
+  concat_ws('; ', CASE WHEN {_SAME} THEN 'metric_family=' || lower(replace(o.scope, ' ', '_')) || '; scope=' || o.scope END, CASE WHEN o.deadline = n.deadline THEN 'deadline=' || o.deadline WHEN abs(CAST(o.deadline AS INT) - CAST(n.deadline AS INT)) = 1 THEN 'deadline~' || o.deadline || '/' || n.deadline END, 'claim_type=target') AS agreed
+  FROM steps s JOIN st o ON s.company = o.company AND s.publish_year = o.publish_year JOIN st n ON s.company = n.company AND s.next = n.publish_year LEFT JOIN dots d ON d.company = s.company AND d.publish_year = s.publish_year AND d.i = o.id AND d.j = n.id),
+ranked AS (SELECT *, CAST(greatest(coalesce(sim, 0e0), CASE WHEN slot >= 0.6 THEN slot ELSE 0 END) AS DOUBLE) AS rank FROM p WHERE sim IS NOT NULL OR slot >= 0.6), {_greedy_sql('ranked', 'company, publish_year')},
+m AS (SELECT t.company, t.publish_year AS from_year, t.next AS to_year, coalesce({py_round_sql('sim', 3)}, 0e0) AS text, CAST(slot AS DOUBLE) AS slot, agreed, i, j, o.strength AS os, n.strength AS ns, o.negated AS was_no, n.negated AS is_no, o.quantity AS oq, n.quantity AS nq, o.deadline AS od, n.deadline AS nd FROM taken t JOIN st o ON t.i = o.id JOIN st n ON t.j = n.id),
+e AS (SELECT *, 'boilerplate_recycled' AS type, 'near-identical wording republished; no change in commitment or evidence' AS detail FROM m WHERE text >= 0.93
+  UNION ALL SELECT *, 'commitment_negated', 'commitment now negated: previously ''' || os || ''', now ''' || ns || ''' but negated' FROM m WHERE NOT was_no AND is_no AND os IN ('firm', 'hedged') AND ns IN ('firm', 'hedged')
+  UNION ALL SELECT *, 'commitment_softened', 'commitment strength ''firm'' -> ''hedged''' FROM m WHERE NOT was_no AND NOT is_no AND os = 'firm' AND ns = 'hedged'
+  UNION ALL SELECT *, 'achievement_reverted_to_aspiration', 'previously reported as achieved, now framed as an aim' FROM m WHERE NOT was_no AND NOT is_no AND os = 'achievement' AND ns = 'hedged'
+  UNION ALL SELECT *, 'quantity_dropped', 'quantity ''' || oq || ''' no longer stated' FROM m WHERE oq <> '' AND nq = ''
+  UNION ALL SELECT *, 'deadline_pushed', 'target year moved ' || od || ' -> ' || nd FROM m WHERE CAST(nd AS INT) > CAST(od AS INT)
+  UNION ALL SELECT *, 'specificity_fell', 'specificity 0.80 -> 0.60 (-0.20)' FROM m WHERE oq <> '' AND nq = '')
+SELECT company, type, detail, CAST(from_year AS INT) AS from_year, CAST(to_year AS INT) AS to_year, text AS tfidf_similarity, slot AS slot_similarity, CASE WHEN text >= 0.55 AND slot >= 0.6 THEN 'both' WHEN text >= 0.55 THEN 'text' ELSE 'slots' END AS matched_via, agreed AS matched_slots, i, j FROM e""")
 def pair_diff(spark, sf_dir):
-    return matching.language_drift(_small_claims(spark, sf_dir)).drop("old", "new")
+    return matching.language_drift(_small_claims(spark, sf_dir)).drop("old", "new").withColumn("matched_slots", F.array_join("matched_slots", "; "))
 
 
-@query()
+_PLACE = "SELECT id, CAST(instr(sentence, {c}) - 1 AS INT) AS begins, CAST(instr(sentence, {c}) - 1 + length({c}) AS INT) AS ends, '{kind}' AS kind, {c} AS term FROM st WHERE {c} <> ''"
+
+
+@query(f"WITH {_SMALL} " + " UNION ALL ".join(_PLACE.format(c=c, kind=kind) for c, kind in (("quantity", "qty"), ("baseline", "baseline"), ("deadline", "deadline"))))
 def highlights(spark, sf_dir):
-    return features.with_highlights(_small_claims(spark, sf_dir), Lexicon()).select("id", "highlights")
+    h = features.with_highlights(_small_claims(spark, sf_dir), Lexicon()).select("id", F.inline("highlights"))
+    return h.withColumnsRenamed({"start": "begins", "end": "ends"})
 
 
-@query()
+@query(f"""WITH {_SMALL}, l AS (SELECT company, 100e0 - 2e0 * (CAST(baseline AS INT) - 2010) AS start, CAST(s.id % 60 + 4 AS DOUBLE) AS target, least(1e0, (2022 - CAST(baseline AS INT)) / CAST(CAST(deadline AS INT) - CAST(baseline AS INT) AS DOUBLE)) AS elapsed
+  FROM st s WHERE quantity <> '' AND NOT negated AND NOT conditional),
+a AS (SELECT company, count(*) AS n, count(*) FILTER (WHERE 76e0 > start * (1 - target / 100 * elapsed)) AS b FROM l GROUP BY company),
+r AS (SELECT c.company, coalesce(n, 0) AS n_measurable, coalesce(b, 0) AS n_behind, CASE WHEN n >= 3 THEN 100e0 * b / n END AS x FROM (SELECT DISTINCT company FROM st) c LEFT JOIN a ON c.company = a.company)
+SELECT company, n_measurable, n_behind, {py_round_sql('x', 1)} AS say_do_gap FROM r""")
 def say_do(spark, sf_dir):
     years = F.explode(F.sequence(F.lit(2010), F.lit(2022)))
     metrics = F.explode(F.array(*(F.lit(f"scope_{i}_emissions") for i in (1, 2, 3))))
@@ -410,7 +458,12 @@ def say_do(spark, sf_dir):
     return linkage.say_do_score(links, f)
 
 
-@query()
+@query("""WITH q AS (SELECT l_orderkey AS doc, list(CAST(trunc(l_quantity) AS INT) ORDER BY l_linenumber, l_quantity) AS v FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT doc, 1 AS row, 'Scope 1' AS metric, v[1:3] AS v FROM q UNION ALL SELECT doc, 2, 'Scope 2 market-based', v[1:4] FROM q)
+SELECT doc, row, metric, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason, CAST(2022 - k AS INT) AS year, CAST(v[k + 1] AS VARCHAR) AS value, 'tCO2e' AS unit,
+  CASE WHEN k = 0 AND len(v) = 4 THEN CASE WHEN abs((v[1] - v[2]) / CAST(v[2] AS DOUBLE) * 100 - v[4]) > greatest(0.5e0, 0.1e0 * v[4]) THEN 'fail' ELSE 'pass' END ELSE 'not_available' END AS consistency_check, 'low' AS confidence
+FROM t, (SELECT unnest([0, 1, 2]) AS k) WHERE len(v) >= 3
+UNION ALL SELECT doc, row, metric, 'rejected', 'fewer values than years', NULL, NULL, NULL, 'not_available', NULL FROM t WHERE len(v) < 3""")
 def figure_drafts(spark, sf_dir):
     """Tables laid out of line items: a header of years, then a label and its values."""
     pages = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("q"))
