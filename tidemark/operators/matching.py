@@ -106,7 +106,8 @@ def candidate_pairs(claims: DataFrame, lexicon: Lexicon = Lexicon(), group: str
     new = slots.join(steps.select(group, F.col("publish_year").alias("was"), F.col("next").alias("publish_year")), [group, "publish_year"]).select(group, F.col("was").alias("publish_year"), F.col("publish_year").alias("next"), F.col("id").alias("j"), "sentence", F.col("slots").alias("b"))
     keys = [group, "publish_year", "next"]
     texts = old.select(*keys, F.lit("a").alias("side"), F.col("i").alias("id"), F.col("sentence").alias("text")).unionByName(new.select(*keys, F.lit("b").alias("side"), F.col("j").alias("id"), F.col("sentence").alias("text")))
-    alike = similarities(texts, keys, threshold)
+    # to nine digits, so that the order in which a sum's parts are added can't decide between equal pairs
+    alike = similarities(texts, keys, threshold).withColumn("similarity", F.round("similarity", 9))
     o, n = old.drop("sentence"), new.drop("sentence")
 
     def by(*fields: str) -> DataFrame:

@@ -91,11 +91,13 @@ def cross_signal(numeric: DataFrame, language: DataFrame) -> DataFrame:
 
 def top_claims(claims: DataFrame, most: int = 220) -> DataFrame:
     """Claims by specificity, then in their order, at most so many for each company; those of no kind only where a company has no others."""
-    per = Window.partitionBy("company")
-    of_kind = F.max((F.col("claim_type") != "other").cast("int")).over(per)
-    out = claims.withColumn("_some", of_kind).where((F.col("claim_type") != "other") | (F.col("_some") == 0))
-    n = F.row_number().over(per.orderBy(F.col("specificity_score").desc_nulls_last(), "ord"))
-    return out.withColumn("rank", n).where(F.col("rank") <= most).drop("_some")
+    # ranked within kind and others apart, so that each split gives up all but its first rows before the shuffle
+    is_other = F.coalesce(F.col("claim_type") == "other", F.lit(False))
+    per = Window.partitionBy("company", "_other").orderBy(F.col("specificity_score").desc_nulls_last(), "ord")
+    out = claims.withColumn("_other", is_other).withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= most)
+    # at most twice ``most`` rows of a company are left
+    least = F.min("_other").over(Window.partitionBy("company"))
+    return out.withColumn("_least", least).where(F.col("_other") == F.col("_least")).drop("_other", "_least")
 
 
 def most_damaging(claims: DataFrame, most: int = 5) -> DataFrame:

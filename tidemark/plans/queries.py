@@ -417,7 +417,7 @@ tf AS (SELECT company, publish_year, side, id, gram, count(*) AS tf FROM g GROUP
 x AS (SELECT tf.*, tf * (ln((1e0 + n) / (1e0 + df)) + 1) AS w FROM tf JOIN df USING (company, publish_year, gram) JOIN c USING (company, publish_year)),
 u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY company, publish_year, side, id)) AS v FROM x),
 dots AS (SELECT a.company, a.publish_year, a.id AS i, b.id AS j, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.company = b.company AND a.publish_year = b.publish_year AND a.gram = b.gram AND a.side = 'a' AND b.side = 'b' GROUP BY ALL),
-p AS (SELECT s.company, s.publish_year, s.next, o.id AS i, n.id AS j, CASE WHEN d.s >= 0.55 THEN d.s END AS sim,
+p AS (SELECT s.company, s.publish_year, s.next, o.id AS i, n.id AS j, CASE WHEN d.s >= 0.55 THEN round(d.s, 9) END AS sim,
   round(CASE WHEN {_SAME} THEN 0.6 ELSE 0 END + CASE WHEN o.deadline = n.deadline THEN 0.2 WHEN abs(CAST(o.deadline AS INT) - CAST(n.deadline AS INT)) = 1 THEN 0.1 ELSE 0 END + 0.2, 3) AS slot,
   concat_ws('; ', CASE WHEN {_SAME} THEN 'metric_family=' || lower(replace(o.scope, ' ', '_')) || '; scope=' || o.scope END, CASE WHEN o.deadline = n.deadline THEN 'deadline=' || o.deadline WHEN abs(CAST(o.deadline AS INT) - CAST(n.deadline AS INT)) = 1 THEN 'deadline~' || o.deadline || '/' || n.deadline END, 'claim_type=target') AS agreed
   FROM steps s JOIN st o ON s.company = o.company AND s.publish_year = o.publish_year JOIN st n ON s.company = n.company AND s.next = n.publish_year LEFT JOIN dots d ON d.company = s.company AND d.publish_year = s.publish_year AND d.i = o.id AND d.j = n.id),
