@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,23 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Whether Spark deletes an execution's shuffle files when it ends.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANED)
+        else:
+            spark.conf.set(_CLEANED, before)
+
+
 class Stage:
     """Tables written to the shared folder to cut lineage: readable by all, and still there when an executor is lost.
 
@@ -50,7 +68,9 @@ class Stage:
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
+        # once the table is there, nothing reads the shuffles that made it
+        with _shuffles_cleaned(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._tidemark_path = path
