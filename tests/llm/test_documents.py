@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,22 @@ def test_substrings_equal_brute_force(docs, texts):
     assert sum(r[2] > 0 for r in want) >= 5
 
 
+def test_equal_full_windows_are_stood_for_by_equal_windows():
+    rng = np.random.default_rng(3)
+    assert substring_dedup.lengths(35) == [9, 18, 35]
+    assert substring_dedup.lengths(2) == [1, 2]
+    for window in (2, 3, 23, 35, 100):
+        passage = rng.integers(1, 1 << 62, window).astype(np.uint64)
+        text = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in (40, 7, 60)]
+        levels = substring_dedup.Levels(np.concatenate([text[0], passage, text[1], passage, text[2]]), window)
+        for level, length in enumerate(levels.lengths):
+            at = levels.places(level)[[40, 47 + window]]
+            h = levels.hashes(level)[at]
+            assert h[0] == h[1]
+            # the window lies within the full window
+            assert all(q <= p <= q + window - length for p, q in zip(at, (40, 47 + window), strict=True)), (window, level)
+
+
 @pytest.mark.parametrize("window", [2, 3, 8])
 def test_substrings_of_other_lengths(spark, window):
     r = random.Random(window)

@@ -1,16 +1,17 @@
 """Repeated word windows by level-wise doubling.
 
 Windows of ``WINDOW`` words that begin at more than one place are found level
-by level.  The lowest level looks at windows of half that length (rounded up).
-Only those that repeat are extended to the next length; a window of twice the
-length (or a little less: its halves then overlap) can only repeat where its
-parts do.  Levels end when the full length is reached or nothing survives.
-
-At the lowest level not every place is looked at but anchors: among the places
-of the short windows in any full window, the one whose window has the smallest
-hash.  Which one that is follows from the words of the full window alone, so
-two equal full windows have equal anchors, and a full window repeats only if
-its anchor's short window does.
+by level: for 35 words, those of 9, 18 and 35.  Windows that are found at one
+place alone go; the others are extended to about twice their length, and so on
+until the full length is reached or nothing survives.
+
+A full window is stood for, at each lower level, by one window in it.  At the
+lowest level that is the one with the smallest hash, its anchor; at the levels
+above, the window that begins with the anchor or, where the full window ends
+too soon for that, the one that ends with it.  All follow from the words of the
+full window alone, so two equal full windows are stood for by equal windows, and
+a full window repeats only if these do.  Neighbouring full windows share their
+anchors, so about one place in fourteen is looked at.
 """
 
 from __future__ import annotations
@@ -31,19 +32,19 @@ from .tokens import in_slices
 WINDOW = 35
 
 
-def base_length(window: int) -> int:
-    return (window + 1) // 2
+#: The lowest level's windows are shorter than this.
+SHORT = 12
 
 
-def anchors(short: np.ndarray, span: int) -> np.ndarray:
-    """Places of the smallest of every ``span`` consecutive hashes (the first, where equal)."""
-    m = len(short) - span + 1
-    if m <= 0:
-        return np.zeros(0, np.int64)
-    return np.unique(_anchor_of(short, span))
+def lengths(window: int) -> list[int]:
+    """Lengths of the levels' windows, each at most twice the one before."""
+    out = [window]
+    while out[0] >= SHORT or len(out) < 2:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
-def _anchor_of(short: np.ndarray, span: int) -> np.ndarray:
+def _least_of(short: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` consecutive hashes, the place of its smallest (the first, where equal)."""
     place, step = np.arange(len(short)), 1
     while step * 2 <= span:  # doubling: the least of 1, 2, 4 ... places
@@ -55,6 +56,39 @@ def _anchor_of(short: np.ndarray, span: int) -> np.ndarray:
     return np.where(short[b] < short[a], b, a)
 
 
+class Levels:
+    """One text's windows: for each full window the places of those that stand for it, and hashes."""
+
+    def __init__(self, words: np.ndarray, window: int):
+        self.words, self.lengths = words, lengths(window)
+        self.m = max(0, len(words) - window + 1)
+        if self.m:
+            self.anchor = _least_of(self.hashes(0), window - self.lengths[0] + 1)
+            self.offset = self.anchor - np.arange(self.m)
+
+    def hashes(self, level: int) -> np.ndarray:
+        return windows_rolling(self.words, self.lengths[level], 53)
+
+    def places(self, level: int) -> np.ndarray:
+        """Of each full window: where the window of this level begins that stands for it."""
+        length = self.lengths[level]
+        if not self.m or length == self.lengths[-1]:
+            return np.arange(self.m)
+        if not level:
+            return self.anchor
+        return np.where(self.offset + length <= self.lengths[-1], self.anchor, self.anchor + self.lengths[0] - length)
+
+    def extended(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash one level below, hash) of the windows of this level, once for each pair of places; at level 0 the hash twice."""
+        if not self.m:
+            return np.zeros(0, U64), np.zeros(0, U64)
+        at, below = self.places(level), self.places(max(0, level - 1))
+        # equal pairs follow one another
+        new = np.append(True, (at[1:] != at[:-1]) | (below[1:] != below[:-1]))
+        own = self.hashes(level)[at[new]]
+        return (self.hashes(level - 1)[below[new]] if level else own), own
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed before they are shuffled: about half of what the shuffle's own compression makes of them."""
     for batch in batches:
@@ -68,11 +102,11 @@ def _unpacked(column: pa.Array) -> list[str]:
 
 
 def _each(texts: list[str], window: int):
-    """(row, words of its text, k, hashes of the short windows) for each row."""
+    """(row, its windows) for each row."""
     for a, b in in_slices(texts):
         words = Words(texts[a:b], lower=False)
         for k in range(b - a):
-            yield a + k, words, k, windows_rolling(words.of(k), base_length(window), 53)
+            yield a + k, Levels(words.of(k), window)
 
 
 def _second(words: np.ndarray, n: int) -> np.ndarray:
@@ -84,52 +118,50 @@ def _emit(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _anchored(window: int):
+def _level(window: int, level: int):
+    """From (key, text) to (key, hash one level below, hash) of the windows of a level; at level 0 to (key, hash)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = window - base_length(window) + 1
+        names = ["key", "below", "h"] if level else ["key", "h"]
         for batch in batches:
-            keys, rows = batch.column(0).to_numpy(zero_copy_only=False), []
-            hashes, size = [], 0
-            for row, _, _, short in _each(batch.column(1).to_pylist(), window):
-                at = anchors(short, span)
-                hashes.append(short[at].view(np.int64))
-                rows.append(np.full(len(at), keys[row], np.int64))
-                size += len(at)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            parts: list[tuple] = []
+            size = 0
+            for row, levels in _each(batch.column(1).to_pylist(), window):
+                below, own = levels.extended(level)
+                parts.append((np.full(len(own), keys[row], np.int64), *([below.view(np.int64)] if level else []), own.view(np.int64)))
+                size += len(own)
                 if size > 1 << 18:
-                    yield _emit([np.concatenate(rows), np.concatenate(hashes)], ["key", "h"])
-                    rows, hashes, size = [], [], 0
-            if rows:
-                yield _emit([np.concatenate(rows), np.concatenate(hashes)], ["key", "h"])
+                    yield _emit([np.concatenate(c) for c in zip(*parts, strict=True)], names)
+                    parts, size = [], 0
+            if size:
+                yield _emit([np.concatenate(c) for c in zip(*parts, strict=True)], names)
 
     return run
 
 
-def _extended(window: int):
-    """From (key, text, repeated short hashes) to (key, place, two hashes) of the full windows they may grow to."""
+def _full(window: int):
+    """From (key, text, repeated hashes of the level below) to (key, place, two hashes) of the full windows they may grow to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = base_length(window)
-        span = window - base + 1
+        last = len(lengths(window)) - 2
         names = ["key", "place", "h", "g"]
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            parts: list[list[np.ndarray]] = [[], [], [], []]
+            parts: list[tuple] = []
             size = 0
-            for row, words, k, short in _each(_unpacked(batch.column(1)), window):
-                if len(short) < span:
+            for row, levels in _each(_unpacked(batch.column(1)), window):
+                if not levels.m:
                     continue
                 repeated = np.frombuffer(batch.column(2)[row].values.to_numpy(zero_copy_only=False).astype(np.int64), U64)
-                ok = np.isin(short, repeated)
-                at = np.flatnonzero(ok[_anchor_of(short, span)])
-                w = words.of(k)
-                for part, x in zip(parts, (np.full(len(at), keys[row], np.int64), at.astype(np.int32), windows_rolling(w, window, 53)[at].view(np.int64), _second(w, window)[at].view(np.int64)), strict=True):
-                    part.append(x)
+                at = np.flatnonzero(np.isin(levels.hashes(last), repeated)[levels.places(last)])
+                parts.append((np.full(len(at), keys[row], np.int64), at.astype(np.int32), levels.hashes(last + 1)[at].view(np.int64), _second(levels.words, window)[at].view(np.int64)))
                 size += len(at)
                 if size > 1 << 18:
-                    yield _emit([np.concatenate(p) for p in parts], names)
-                    parts, size = [[], [], [], []], 0
+                    yield _emit([np.concatenate(c) for c in zip(*parts, strict=True)], names)
+                    parts, size = [], 0
             if size:
-                yield _emit([np.concatenate(p) for p in parts], names)
+                yield _emit([np.concatenate(c) for c in zip(*parts, strict=True)], names)
 
     return run
 
@@ -193,15 +225,30 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a row's key: rows with equal keys are equal in id and text, and have the same windows
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = keyed.select("key", "text").mapInArrow(lean(_anchored(window)), "key long, h long")
-    # what repeats is written, so that the joins have exchanges on both sides and a common passage's rows can be split
-    repeated = stage.write(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    survivors = stage.write(found.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("repeated")))
+    texts = keyed.select("key", "text")
+
+    def again(windows: DataFrame, *by: str) -> DataFrame:
+        """What is found more than once; written, so that joins have exchanges on both sides and a common passage's rows can be split."""
+        return stage.write(windows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by))
+
+    repeated = again(texts.mapInArrow(lean(_level(window, 0)), "key long, h long"), "h")
+    alive = texts.mapInArrow(lean(_level(window, 0)), "key long, h long")
+    done: list[DataFrame] = []
+    for level in range(1, len(lengths(window)) - 1):
+        if repeated.isEmpty():
+            break
+        grown = texts.mapInArrow(lean(_level(window, level)), "key long, below long, h long")
+        alive = stage.write(grown.join(repeated.withColumnRenamed("h", "below"), "below").select("key", "h"))
+        done += [repeated, alive]
+        repeated = again(alive, "h")
+    survivors = stage.write(alive.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("repeated")))
+    stage.drop(repeated, *done)
     packed = keyed.select("doc_id", "key", "text").mapInArrow(lean(_packed), "doc_id long, key long, packed binary")
-    grown = packed.select("key", "packed").join(survivors, "key").select("key", "packed", "repeated").mapInArrow(lean(_extended(window)), "key long, place int, h long, g long")
-    grown = stage.write(grown)
-    full = stage.write(grown.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
+    grown = stage.write(packed.select("key", "packed").join(survivors, "key").select("key", "packed", "repeated").mapInArrow(lean(_full(window)), "key long, place int, h long, g long"))
+    stage.drop(survivors)
+    full = again(grown, "h", "g")
     places = stage.write(grown.join(full, ["h", "g"]).groupBy("key").agg(F.collect_set("place").alias("places")))
+    stage.drop(grown, full)
     both = packed.join(places, "key", "left").select("doc_id", "packed", "places")
     if digest:
         return both.mapInArrow(lean(_finished(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
