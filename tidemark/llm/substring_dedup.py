@@ -46,7 +46,7 @@ def lengths(window: int) -> list[int]:
 
 def _least_of(short: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` consecutive hashes, the place of its smallest (the first, where equal)."""
-    place, step = np.arange(len(short)), 1
+    place, step = np.arange(len(short), dtype=np.int32), 1
     while step * 2 <= span:  # doubling: the least of 1, 2, 4 ... places
         a, b = place[:-step], place[step:]
         place = np.where(short[b] < short[a], b, a)
@@ -64,7 +64,6 @@ class Levels:
         self.m = max(0, len(words) - window + 1)
         if self.m:
             self.anchor = _least_of(self.hashes(0), window - self.lengths[0] + 1)
-            self.offset = self.anchor - np.arange(self.m)
 
     def hashes(self, level: int) -> np.ndarray:
         return windows_rolling(self.words, self.lengths[level], 53)
@@ -73,10 +72,11 @@ class Levels:
         """Of each full window: where the window of this level begins that stands for it."""
         length = self.lengths[level]
         if not self.m or length == self.lengths[-1]:
-            return np.arange(self.m)
+            return np.arange(self.m, dtype=np.int32)
         if not level:
             return self.anchor
-        return np.where(self.offset + length <= self.lengths[-1], self.anchor, self.anchor + self.lengths[0] - length)
+        room = np.arange(self.lengths[-1] - length, self.m + self.lengths[-1] - length, dtype=np.int32)
+        return np.where(self.anchor <= room, self.anchor, self.anchor + np.int32(self.lengths[0] - length))
 
     def extended(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash one level below, hash) of the windows of this level, once for each pair of places; at level 0 the hash twice."""
@@ -85,8 +85,9 @@ class Levels:
         at, below = self.places(level), self.places(max(0, level - 1))
         # equal pairs follow one another
         new = np.append(True, (at[1:] != at[:-1]) | (below[1:] != below[:-1]))
-        own = self.hashes(level)[at[new]]
-        return (self.hashes(level - 1)[below[new]] if level else own), own
+        at, below = at[new], below[new]
+        own = self.hashes(level)[at]
+        return (self.hashes(level - 1)[below] if level else own), own
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
