@@ -472,6 +472,52 @@ def test_lm_is_a_distribution_and_learns():
     assert np.allclose(f[: last - 1], g[: last - 1])
 
 
+def test_lm_tells_each_new_word_once_and_words_of_other_white_space(spark):
+    """The tokenizer is asked for words, not for texts: copies cost no more, and no id reaches over two words."""
+    t = lm_scoring.Subwords()
+    real, told = t.encoding, []
+
+    class Noting:
+        def encode_to_numpy(self, text, **named):
+            told.extend(text.split(" ")[1:])
+            return real.encode_to_numpy(text, **named)
+
+    t.encoding = Noting()
+    texts = ["The cat's 12 dogs, the CAT"] * 50 + ["the cow", "", None]
+    got = t.texts(lm_scoring.Words(texts, lower=True))
+    assert sorted(told) == ["12", "cat", "cat's", "cow", "dogs,", "the"]
+    assert [x.tolist() for x in got] == [real.encode((" " + _lower(x)) if x else "") for x in texts]
+    odd = "x \u00a0 \u00a0 y \u3000\u2003 z\x85 \x1c"
+    assert t.first[t(odd)].sum() == 7
+    rows = [(1, odd), (2, "x y"), (3, "\u00a0 \u00a0"), (4, None)]
+    out = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {1: 8, 2: 3, 3: 3, 4: 1} and all(math.isfinite(r.score) for r in out)
+
+
+def test_lm_gradients_are_those_of_the_plain_model():
+    """Differences of the loss of ``_forward`` along random directions, one for each weight array; some positions are not wanted, some not there."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    size = lm_scoring.END + 1
+    v = lm_scoring.Vocabulary.build((1e6 / (1 + np.arange(size))).astype(np.int64), np.arange(size) % 3 == 0)
+    p = {k: x.astype(float) + 0.1 * rng.standard_normal(x.shape) for k, x in lm_scoring.initial().items()}
+    texts = [(rng.random(n) ** 4 * (size - 1)).astype(np.int32) for n in (0, 3, 24, 200, 900)]
+    ids, real, targets, wanted = (np.concatenate(x) for x in zip(*map(lm_scoring.windows_of, texts)))
+
+    def loss(q):
+        logits = lm_scoring._forward(q, v, ids, real)["logits"][wanted]
+        logits = logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        return -logits[np.arange(len(logits)), v.of[targets[wanted]]].mean()
+
+    trainer = lm_scoring.Trainer(p, v)
+    assert trainer._gradients(ids, real, targets, wanted) == pytest.approx(loss(p), rel=1e-5)
+    for k, x in p.items():
+        way = rng.standard_normal(x.shape)
+        found = (loss(p | {k: x + 1e-3 * way}) - loss(p | {k: x - 1e-3 * way})) / 2e-3
+        assert (trainer.grad[k] * way).sum() == pytest.approx(found, rel=2e-2, abs=2e-4), k
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(3)
     rows, labels = [], []
