@@ -494,6 +494,44 @@ def test_lm_tells_each_new_word_once_and_words_of_other_white_space(spark):
     assert {r.doc_id: r.n_tokens for r in out} == {1: 8, 2: 3, 3: 3, 4: 1} and all(math.isfinite(r.score) for r in out)
 
 
+def test_lm_keeps_words_met_again_when_others_are_let_go(monkeypatch):
+    """Beyond the limit, words met once are told again when they come back, words met again are not; ids stay right."""
+    monkeypatch.setattr(lm_scoring, "KEPT_WORDS", 6)
+    t = lm_scoring.Subwords()
+    real, told = t.encoding, []
+
+    class Noting:
+        def encode_to_numpy(self, text, **named):
+            told.extend(text.split(" ")[1:])
+            return real.encode_to_numpy(text, **named)
+
+    t.encoding = Noting()
+    texts = ["the cat", "the cat unlikeliest", "dogs barking at geese", "the cat geese", "", "a1 b2 c3 d4 e5 f6 g7 h8", "the cat a1"]
+    for x in texts:
+        got = t.texts(lm_scoring.Words([x], lower=True))
+        assert [g.tolist() for g in got] == [real.encode(" " + x) if x else []]
+    assert told.count("the") == told.count("cat") == 1 and told.count("geese") == 2
+
+
+def test_lm_scores_beyond_float32s_exp_are_those_of_the_plain_model():
+    import numpy as np
+
+    t = lm_scoring.subwords(lm_scoring.TOKENIZER)
+    texts = [t(" ".join(WORDS[:n])) for n in (0, 3, 40)]
+    counts = np.bincount(np.concatenate(texts), minlength=t.size)
+    v = lm_scoring.Vocabulary.build(counts, t.first)
+    for large in ({"out": 300, "last": 50}, {"query": 900, "key": 40}, {"bias": -500}):
+        p = {k: x * large.get(k, 1) + (large["bias"] if k == "bias" and k in large else 0) for k, x in lm_scoring.initial().items()}
+        p = {k: x.astype(np.float32) for k, x in p.items()}
+        ids, real, after, wanted = (np.concatenate(x) for x in zip(*map(lm_scoring.windows_of, texts)))
+        logits = lm_scoring._forward(p, v, ids, real)["logits"][wanted].astype(float)
+        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        want = np.maximum(logits[np.arange(len(logits)), v.of[after[wanted]]], -80)
+        got = lm_scoring.Scorer(p, v).places(texts)[1] - v.share[after[wanted]]
+        assert np.allclose(np.maximum(got / lm_scoring.LOG10, -80), want, rtol=1e-3, atol=2e-2), large
+        assert lm_scoring.Trainer(p, v)._gradients(ids, real, after, wanted) == pytest.approx(-np.maximum(want, math.log(1e-30)).mean(), rel=1e-3)
+
+
 def test_lm_gradients_are_those_of_the_plain_model():
     """Differences of the loss of ``_forward`` along random directions, one for each weight array; some positions are not wanted, some not there."""
     import numpy as np
