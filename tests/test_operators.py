@@ -40,6 +40,14 @@ def test_series_intensity_and_gaps(spark):
     assert (row["2017"], row["2018"], row["2019"]) == ("OK", "CONFLICT", "-")
 
 
+def test_a_score_with_no_digits_is_rounded_once(spark):
+    # 29.68 of 60 is 49.47 %: 49.5 to one digit, and 50 if that is rounded again
+    e = spark.createDataFrame([("a", 2018, "metric_restated", x, "a/2020_r.csv") for x in (9.68, -20.0)], "company string, year int, type string, magnitude_pct double, new_source string")
+    years = e.select("company", "year")
+    assert facts.yearly_intensity(e, years).first().score_hindsight == 49.5
+    assert facts.exact_intensity(e, years).select(F.round("score_hindsight", 0)).first()[0] == 49.0
+
+
 def test_blocks_to_claims(spark):
     rows, n = [], 0
     for page in range(1, 5):

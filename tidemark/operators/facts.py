@@ -204,12 +204,18 @@ def worsening_years(trend: DataFrame) -> DataFrame:
 
 
 def _intensity(pct: Column, kind: Column, when: Column) -> Column:
-    moved = F.coalesce(F.sum(F.when(when, F.abs(pct))), F.lit(0.0)) + 15.0 * F.count_if(when & (kind == "metric_redefined"))
-    return F.when(F.count_if(when) > 0, py_round(F.least(moved / 60.0, F.lit(1.0)) * 100, 1))
+    # magnitudes have two digits: a sum in whole hundredths doesn't depend on the order of rows
+    moved = F.coalesce(F.sum(F.when(when, F.round(F.abs(pct) * 100).cast("long"))) / 100.0, F.lit(0.0)) + 15.0 * F.count_if(when & (kind == "metric_redefined"))
+    return F.when(F.count_if(when) > 0, F.least(moved / 60.0, F.lit(1.0)) * 100)
 
 
 def yearly_intensity(events: DataFrame, years: DataFrame) -> DataFrame:
-    """For each (company, year): how much moved, as known by then and with hindsight; null where nothing did."""
+    """For each (company, year): how much moved, as known by then and with hindsight; to one digit; null where nothing did."""
+    return exact_intensity(events, years).withColumns({c: py_round(F.col(c), 1) for c in ("score_as_of", "score_hindsight")})
+
+
+def exact_intensity(events: DataFrame, years: DataFrame) -> DataFrame:
+    """The same, not rounded: a score that is to have other digits must not be rounded twice."""
     e = events.select("company", "year", "type", "magnitude_pct", publish_year(F.col("new_source")).alias("known"))
     per = e.groupBy("company", "year").agg(_intensity(F.col("magnitude_pct"), F.col("type"), F.coalesce(F.col("known") <= F.col("year"), F.lit(False))).alias("score_as_of"), _intensity(F.col("magnitude_pct"), F.col("type"), F.lit(True)).alias("score_hindsight"))
     return years.select("company", "year").distinct().join(per, ["company", "year"], "left")

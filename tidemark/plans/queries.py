@@ -139,7 +139,7 @@ def asof_intensity(spark, sf_dir):
     figures = _figures(spark, sf_dir)
     # data years are moved on by 18, so that some reports come after them and some before
     events = facts.restatements(figures).withColumn("year", F.col("year") + 18)
-    out = facts.yearly_intensity(events, figures.withColumn("year", F.col("year") + 18)).withColumn("year", F.col("year") - 18)
+    out = facts.exact_intensity(events, figures.withColumn("year", F.col("year") + 18)).withColumn("year", F.col("year") - 18)
     return out.withColumns({c: F.round(c, 0) for c in ("score_as_of", "score_hindsight")})
 
 
