@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import slots, text
 from tidemark.functions.lexicon import Lexicon, Settings
-from tidemark.functions.numbers import plain_number, py_round
+from tidemark.functions.numbers import fixed, plain_number, py_round
 
 
 def _one(spark, s, **columns):
@@ -74,3 +74,10 @@ def test_configuration_files(tmp_path):
 
     (tmp_path / "c.json").write_text('{"vague": ["Huge"], "drift": {"rate_weight": 1}}')
     assert read_lexicon(f"{tmp_path}/c.json").vague == ("huge",) and read_settings(f"{tmp_path}/c.json").rate_weight == 1
+
+
+def test_fixed_digits_are_python_s(spark):
+    xs = [6.25, 6.35, -6.25, 0.15, -0.04, 0.0, 12.75, -100.0, 99.95, None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", fixed(F.col("x"), 1, plus=True).alias("signed"), fixed(F.col("x"), 2).alias("plain")).orderBy("i").collect()
+    assert [r.signed for r in rows] == [None if x is None else f"{x:+.1f}" for x in xs]
+    assert [r.plain for r in rows] == [None if x is None else f"{x:.2f}" for x in xs]

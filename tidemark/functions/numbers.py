@@ -37,6 +37,16 @@ def py_round_sql(x: str, digits: int) -> str:
     return f"(({low} + CASE WHEN {beyond} > 0 OR ({beyond} = 0 AND {error} > 0) OR ({beyond} = 0 AND {error} = 0 AND {low} % 2 <> 0) THEN 1 ELSE 0 END) / {m})"
 
 
+def fixed(x: Column, digits: int, plus: bool = False) -> Column:
+    """Text with so many digits after the point, as Python's f"{x:.1f}", or f"{x:+.1f}" with ``plus``; null stays null.
+
+    Java's format rounds the shortest decimal half up (6.25 to 6.3), so values
+    are rounded before (below 4e15 / 10^digits, as by py_round).
+    """
+    sign = F.when(F.startswith(x.cast("double").cast("string"), F.lit("-")), "-").otherwise("+" if plus else "")
+    return F.when(x.isNotNull(), F.concat(sign, F.format_string(f"%.{digits}f", py_round(F.abs(x), digits))))
+
+
 def plain_number(x: Column) -> Column:
     """Whole numbers without a point, others with four significant digits and no exponent; null stays null."""
     x = x.cast("double")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Settings
-from ..functions.numbers import plain_number, py_round
+from ..functions.numbers import fixed, plain_number, py_round
 
 TARGET = "target_"
 EVENT = ("company", "year", "type", "canonical_metric", "old", "new", "magnitude_pct", "weakened", "old_source", "new_source", "page", "description")
@@ -41,7 +41,7 @@ def _percent(old: Column, new: Column) -> Column:
 
 
 def _signed(pct: Column) -> Column:
-    return F.when(pct.isNull(), "").otherwise(F.format_string(" (%+.1f%%)", pct))
+    return F.when(pct.isNull(), "").otherwise(F.concat(F.lit(" ("), fixed(pct, 1, plus=True), F.lit("%)")))
 
 
 def _republished(figures: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import py_round
+from ..functions.numbers import fixed, py_round
 
 LEAST_SPECIFIC, ENOUGH_TO_PROVE = 0.25, 0.20
 # ---- fixed patterns
@@ -33,7 +33,7 @@ def tags(worsening: Column) -> Column:
     vague = F.least(F.lit(1.0), F.lit(0.30) + F.least(soft, F.lit(0.08)) * 5.0 + (F.lit(LEAST_SPECIFIC) - spec))
     unproven = F.lit(0.35) + F.when(is_true("scope_present"), 0.2).otherwise(0.0) + F.when(is_true("date_present"), 0.15).otherwise(0.0)
     return F.array_compact(F.array(
-        tag((spec <= LEAST_SPECIFIC) & (soft > 0) & ~quantified, "vagueness", F.format_string("no quantification and specificity %.2f; relies on vague/hedging vocabulary (ratio %.3f)", spec, soft), py_round(vague, 2), "a number, a boundary/scope, and a baseline year"),
+        tag((spec <= LEAST_SPECIFIC) & (soft > 0) & ~quantified, "vagueness", F.concat(F.lit("no quantification and specificity "), fixed(spec, 2), F.lit("; relies on vague/hedging vocabulary (ratio "), fixed(soft, 3), F.lit(")")), py_round(vague, 2), "a number, a boundary/scope, and a baseline year"),
         tag(~verified & quantified & (spec >= ENOUGH_TO_PROVE), "no_proof", F.lit("states a measurable outcome but names no assurance, audit, standard or third-party verifier"), py_round(F.least(unproven, F.lit(1.0)), 2), "an assurance statement or named third-party verifier for this figure"),
         tag(s.rlike(CERTIFIED) & ~s.rlike(BODIES), "false_labels", F.concat(F.lit("uses certification-style wording ('"), F.regexp_extract(s, CERTIFIED, 0), F.lit("') without naming the certifying body or standard")), F.when(verified, 0.45).otherwise(0.6), "the name of the certifying organisation and the standard applied"),
         tag(F.coalesce(worsening, no) & quantified & ~is_true("negated") & s.rlike(IMPROVEMENT), "hidden_trade_off", F.concat(F.lit("advertises an improvement ('"), F.regexp_extract(s, IMPROVEMENT, 0), F.lit("') in a report year when the company's own verified data shows TOTAL emissions rose")), F.lit(0.5), "total-footprint context presented alongside the highlighted metric"),
