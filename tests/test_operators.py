@@ -168,3 +168,36 @@ def test_revisions_as_a_stream(spark, tmp_path):
     q = revisions(s).writeStream.format("memory").queryName("revised").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.old, r.new, r.pct) for r in spark.table("revised").collect()] == [(10.0, 12.0, 20.0)]
+
+
+def _taken_in_order(pairs):
+    a, b, want = set(), set(), set()
+    for rank, g, i, j in sorted(pairs, key=lambda p: (-p[0], p[2], p[3])):
+        if (g, i) not in a and (g, j) not in b:
+            a.add((g, i))
+            b.add((g, j))
+            want.add((g, i, j, rank))
+    return want
+
+
+def test_matched_pairs_equal_taking_all_pairs_in_order(spark, monkeypatch):
+    from tidemark.operators import pairing
+
+    r = random.Random(3)
+    rows = [(g, r.choice("ab"), i, f"{r.choice(['red', 'blue', 'old', 'oldest'])} {r.choice(['ring', 'rings', 'bolt', 'red'])}") for g in range(4) for i in range(60)]
+    t = spark.createDataFrame([*rows, (None, "a", 1, "red ring"), (0, "a", 99, None)], "g int, side string, id long, text string")
+    every = [(round(x.similarity, 4), x.g, x.i, x.j) for x in matching.similarities(t, ["g"]).collect()]
+    assert len(set(every)) == len(every) > 500
+    got = lambda: {(x.g, x.i, x.j, x["rank"]) for x in matching.matched_pairs(t, ["g"], digits=4).collect()}
+    want = _taken_in_order(every)
+    assert got() == want
+    for name, size in (("BLOCK", 5), ("GRAMS", 7), ("BAND", 10)):
+        monkeypatch.setattr(pairing, name, size)
+    assert got() == want
+
+
+def test_equal_texts_are_compared_once(spark):
+    # 400 equal rows a side: 160000 pairs of ids and one of texts; greedy_matches takes a round for each id
+    t = spark.createDataFrame([("g", s, 2 * i + (s == "b"), "large ring") for s in "ab" for i in range(400)], "g string, side string, id long, text string")
+    assert matching.similarities(t, ["g"]).count() == 160_000
+    assert {(r.i, r.j) for r in matching.matched_pairs(t, ["g"]).collect()} == {(2 * i, 2 * i + 1) for i in range(400)}
