@@ -6,8 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of texts and what was found in them that may be broadcast.
+SENT_WHOLE = 50_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -32,6 +37,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, column: str, work: Callable[[DataFrame], DataFrame], values: DataFrame | None = None) -> DataFrame:
+    """``df`` with the columns that ``work`` adds to a table of ``column`` alone, worked out once for each different value (null too).
+
+    ``values``: a table of ``column`` that has all of df's values and costs less to read.
+    """
+    source = df if values is None else values
+    known = checkpointed(work(source.select(column).distinct())).withColumnRenamed(column, "_once")
+    # a table of counted rows may go to every executor; a larger one is joined by key
+    known = F.broadcast(known) if known.count() <= SENT_WHOLE else known
+    return df.join(known, df[column].eqNullSafe(F.col("_once")), "left").drop("_once")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -17,6 +17,7 @@ from ..functions.numbers import py_round, py_round_sql
 from ..functions.slots import with_slots
 from ..functions.text import lexicon_ratio, prefix_hits, reading_ease, sentences, syllables, words
 from ..operators import blocks, facts, features, linkage, matching, rules, scoring, tables
+from ..operators.common import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,11 +245,10 @@ _STATEMENT = (
 )
 
 
-def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("company"), F.year("o_orderdate").alias("publish_year"))
-    # a small file is one split, and each sentence costs far more to read than its key to move
-    s = s.repartition(max(s.sparkSession.sparkContext.defaultParallelism, 8), "id").withColumn("sentence", F.expr(_STATEMENT)).drop("o_orderkey")
-    return with_slots(s, Lexicon()).withColumn("ord", F.col("id"))
+def _statements(spark: SparkSession, sf_dir: str, work=lambda t: with_slots(t, Lexicon())) -> DataFrame:
+    """Statements with their slots; each different sentence is read once."""
+    s = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("company"), F.year("o_orderdate").alias("publish_year"), F.expr(_STATEMENT).alias("sentence"))
+    return once(s, "sentence", work).withColumn("ord", F.col("id"))
 
 
 _SLOTS = f"""st AS (SELECT o_orderkey AS id, o_orderpriority AS company, year(o_orderdate) AS publish_year, {_STATEMENT} AS sentence,
@@ -263,7 +263,7 @@ def slots(spark, sf_dir):
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_features(_statements(spark, sf_dir))
+    return _statements(spark, sf_dir, lambda t: features.with_features(with_slots(t, Lexicon())))
 
 
 _PART = "CAST({c} AS DOUBLE) / count(*)"
@@ -404,7 +404,7 @@ def _small_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement of each supplier, in a report of its nation."""
     made = _STATEMENT.replace("o_orderkey", "s_suppkey")
     s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("'n' || CAST(s_nationkey AS STRING)").alias("company"), (2020 + F.col("s_suppkey") % 3).cast("int").alias("publish_year"), F.expr(made).alias("sentence"))
-    return features.with_features(with_slots(s, Lexicon())).withColumn("ord", F.col("id"))
+    return once(s, "sentence", lambda t: features.with_features(with_slots(t, Lexicon()))).withColumn("ord", F.col("id"))
 
 
 _SMALL = _SLOTS.replace("o_orderpriority", "'n' || CAST(s_nationkey AS STRING)").replace("year(o_orderdate)", "2020 + s_suppkey % 3").replace("FROM orders", "FROM supplier").replace("o_orderkey", "s_suppkey")
