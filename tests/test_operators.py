@@ -201,3 +201,19 @@ def test_equal_texts_are_compared_once(spark):
     t = spark.createDataFrame([("g", s, 2 * i + (s == "b"), "large ring") for s in "ab" for i in range(400)], "g string, side string, id long, text string")
     assert matching.similarities(t, ["g"]).count() == 160_000
     assert {(r.i, r.j) for r in matching.matched_pairs(t, ["g"]).collect()} == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
+def test_each_different_value_is_worked_out_once(spark):
+    from tidemark.operators.common import once
+
+    seen = []
+
+    def work(t):
+        seen.append(t.count())
+        return t.withColumn("long", F.length("s"))
+
+    df = spark.createDataFrame([(i, (None, "a", "bb")[i % 3]) for i in range(30)], "id int, s string")
+    assert {(r.id, r.long) for r in once(df, "s", work).collect()} == {(i, (None, 1, 2)[i % 3]) for i in range(30)} and seen == [3]
+    rows = [("d", 1, i, "We will cut carbon emissions by 30% by 2030. Short one.", 10.0, False) for i in range(9)]
+    t = blocks.tagged_sentences(spark.createDataFrame([*rows, ("d", 2, 9, None, 10.0, False)], "doc string, page int, ord int, text string, size double, bold boolean"))
+    assert {(r.outcome, r.n) for r in blocks.funnel(t).collect()} == {("kept", 9), ("length", 9)} and t.columns[5:8] == ["sentence", "drop_reason", "quantity"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import Lexicon
 from ..functions.slots import drop_reason, material, with_slots
 from ..functions.text import join_lines, sentences, squeeze, without_footnote_mark
+from .common import once
 
 #: A text on at least this share of pages is a running header or footer.
 REPEATED_SHARE = 0.30
@@ -67,15 +68,20 @@ def tagged_sentences(blocks: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFra
     """Every sentence of every block that is no heading, with drop_reason (null: a claim), slots, and its section."""
     pages = page_texts(blocks)
     body = with_sections(without_boilerplate(blocks)).where("level is null")
-    out = body.select("doc", "page", "ord", "section_path", F.posexplode(F.transform(sentences(F.col("text")), squeeze)).alias("n", "sentence"))
-    out = out.withColumn("drop_reason", drop_reason(F.col("sentence"), lexicon)).join(pages, ["doc", "page"], "left")
+    found = F.transform(sentences(F.col("text")), squeeze)
+    out = body.select("doc", "page", "ord", "section_path", F.posexplode(found).alias("n", "sentence"))
+
+    def read(t: DataFrame) -> DataFrame:
+        # a footnote's mark stays in the evidence, but its number is no quantity
+        t = with_slots(t.withColumn("_dropped", drop_reason(F.col("sentence"), lexicon)).withColumn("_body", without_footnote_mark(F.col("sentence"))), lexicon, "_body")
+        return t.withColumn("_material", material(F.col("_body"), F.col("claim_type"), F.col("quantity"), lexicon)).drop("_body")
+
+    columns = out.columns
+    out = once(out, "sentence", read, blocks.select("text").distinct().select(F.explode(found).alias("sentence"))).join(pages, ["doc", "page"], "left")
     # evidence is literal: what is not on its own page word for word is no evidence
-    astray = F.col("drop_reason").isNull() & ~F.coalesce(F.contains("page_text", "sentence"), F.lit(False))
-    out = out.withColumn("drop_reason", F.when(astray, "not verbatim").otherwise(F.col("drop_reason"))).drop("page_text")
-    # a footnote's mark stays in the evidence, but its number is no quantity
-    out = with_slots(out.withColumn("_body", without_footnote_mark(F.col("sentence"))), lexicon, "_body")
-    immaterial = F.col("drop_reason").isNull() & ~material(F.col("_body"), F.col("claim_type"), F.col("quantity"), lexicon)
-    return out.withColumn("drop_reason", F.when(immaterial, "not material").otherwise(F.col("drop_reason"))).drop("_body")
+    astray = F.col("_dropped").isNull() & ~F.coalesce(F.contains("page_text", "sentence"), F.lit(False))
+    reason = F.when(astray, "not verbatim").when(F.col("_dropped").isNull() & ~F.col("_material"), "not material").otherwise(F.col("_dropped"))
+    return out.select(*columns, reason.alias("drop_reason"), *(c for c in out.columns if c not in (*columns, "page_text", "_dropped", "_material")))
 
 
 def claims(blocks: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
